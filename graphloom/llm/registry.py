@@ -64,6 +64,16 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    out = suffix_dedup.stripped(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
+    all_gone = F.sha2(F.lit(""), 256)
+    kept = F.when(F.col("kept").isNotNull(), F.sha2("kept", 256)).when(F.size("spans") > 0, all_gone).otherwise(F.lower(F.hex("digest")))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), kept.alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import exact_dedup
 
@@ -86,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op5_chat_format": op5_chat_format,
         "op7_sentence_pieces": op7_sentence_pieces,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
