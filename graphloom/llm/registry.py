@@ -27,6 +27,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sketches
+
+    return sketches.edit_study(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
@@ -94,6 +100,7 @@ FROM folded WINDOW g AS (PARTITION BY t)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_fingerprints": op2_fingerprints,
         "op5_chat_format": op5_chat_format,
         "op7_sentence_pieces": op7_sentence_pieces,
         "op9_suffix_dedup": op9_suffix_dedup,
