@@ -33,6 +33,13 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edit_study(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    out = jaccard_join.classes(documents(spark, sf_dir), k=3, num=90, den=100)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
@@ -101,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_fingerprints": op2_fingerprints,
+        "op3_jaccard_join": op3_jaccard_join,
         "op5_chat_format": op5_chat_format,
         "op7_sentence_pieces": op7_sentence_pieces,
         "op9_suffix_dedup": op9_suffix_dedup,
