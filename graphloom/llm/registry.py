@@ -40,6 +40,13 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    out = packing.packed(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+    return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("n").alias("doc_tokens"), F.col("sequence").alias("sequence_id"), "offset")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
@@ -109,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_fingerprints": op2_fingerprints,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_packing": op4_packing,
         "op5_chat_format": op5_chat_format,
         "op7_sentence_pieces": op7_sentence_pieces,
         "op9_suffix_dedup": op9_suffix_dedup,
