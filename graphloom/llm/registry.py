@@ -72,6 +72,16 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language_id
+
+    docs = documents(spark, sf_dir)
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4))
+    model = language_id.fit(docs.where(fold != 2))
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    return language_id.predicted(docs, model).select(F.col("id").alias("doc_id"), held_out.alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sentence_pieces
 
@@ -84,6 +94,13 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classified(documents(spark, sf_dir), labels).withColumnRenamed("id", "doc_id")
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_dedup
 
@@ -118,7 +135,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_jaccard_join": op3_jaccard_join,
         "op4_packing": op4_packing,
         "op5_chat_format": op5_chat_format,
+        "op6_language_id": op6_language_id,
         "op7_sentence_pieces": op7_sentence_pieces,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
