@@ -167,8 +167,8 @@ def local_join(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray |
     return root
 
 
-def _points(k: int, num: int, den: int, signed: bool):
-    """id, n, two digests, and either the signatures or the shingles of each text."""
+def _points(k: int, full: bool):
+    """id, n and two digests of each text's set, and its shingles where ``full``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,8 +176,26 @@ def _points(k: int, num: int, den: int, signed: bool):
             for i, j in chunks(off, CHUNK):
                 h, bounds = sets_of(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 d1, d2 = digests(h, bounds)
-                values, ends = signatures(h, bounds, num, den) if signed else (h.view(np.int64), bounds)
-                yield pa.record_batch({"id": b.column("id").slice(i, j - i), "n": pa.array(np.diff(bounds)), "d1": pa.array(d1), "d2": pa.array(d2), "hashes": lists(values, ends[1:], pa.int64())})
+                out = {"id": b.column("id").slice(i, j - i), "n": pa.array(np.diff(bounds)), "d1": pa.array(d1), "d2": pa.array(d2)}
+                yield pa.record_batch(out | ({"hashes": lists(h.view(np.int64), bounds[1:], pa.int64())} if full else {}))
+
+    return run
+
+
+def _signed(k: int, num: int, den: int):
+    """The signatures of the texts that have the set they are asked for: uid, s."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = utf8(b.column("text"))
+            uid, a1, a2 = (b.column(c).to_numpy() for c in ("uid", "d1", "d2"))
+            for i, j in chunks(off, CHUNK):
+                h, bounds = sets_of(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                d1, d2 = digests(h, bounds)
+                values, ends = signatures(h, bounds, num, den)
+                who = np.repeat(np.arange(j - i), np.diff(ends))
+                keep = ((d1 == a1[i:j]) & (d2 == a2[i:j]))[who]
+                yield pa.record_batch({"uid": pa.array(uid[i:j][who[keep]]), "s": pa.array(values[keep])})
 
     return run
 
@@ -294,17 +312,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     columns of ``df`` are not read.
     """
     rows = id_text(df, id_col, text_col)
-    kind = "id long, n long, d1 long, d2 long, hashes array<long>"
-    points = written(rows.mapInArrow(_points(k, num, den, True), kind), "points")
+    points = written(rows.mapInArrow(_points(k, False), "id long, n long, d1 long, d2 long"), "points")
     key = ["d1", "d2", "n"]
-    sets = points.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.first("hashes").alias("hashes"))
+    sets = points.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"))
     sets = written(sets.withColumn("uid", F.monotonically_increasing_id()), "sets")
-    sent = sets.select("uid", F.explode("hashes").alias("s"))
+    # One text of each set is read again and sends its signatures.
+    asked = rows.join(bounded(sets.select("uid", "d1", "d2", F.col("rep").alias("id"))), "id")
+    sent = asked.mapInArrow(_signed(k, num, den), "uid long, s long")
     pairs = sent.repartition("s").sortWithinPartitions("s", "uid").mapInArrow(_stars, "a long, b long")
     clusters = components(pairs)
     member = written(sets.join(clusters, sets.uid == clusters.node).select("uid", "rep", *key, F.col("root").alias("cluster")), "members")
     few = rows.join(bounded(member.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
-    full = few.mapInArrow(_points(k, num, den, False), kind).withColumnRenamed("id", "rep")
+    full = few.mapInArrow(_points(k, True), "id long, n long, d1 long, d2 long, hashes array<long>").withColumnRenamed("id", "rep")
     near = written(full.join(member, ["rep", *key]).select("cluster", "uid", "n", "hashes"), "near-sets")
     linked = _linked(near, num, den, tile_shingles, tile_sets)
     rooted = linked.join(member.select("uid", "rep"), "uid")
@@ -313,3 +332,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     by_set = sets.select("uid", "rep", *key).join(known, "uid", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = points.select("id", *key).join(by_set, key, "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of their class, with all their columns."""
+    found = classes(df, id_col, text_col, k, num, den)
+    gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
+    return df.join(bounded(written(gone, "near-copies")), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")

@@ -35,9 +35,9 @@ CHUNK = 1 << 20
 BLOCK_ROWS = 5000
 QUANTILE = 0.995
 #: A held-out text may be above its quantile by this part.
-SLACK = 1.10
+SLACK = 1.08
 #: Held-out texts of a language and length that a quantile is taken from, at least; else the language's.
-LEAST_TEXTS = 200
+LEAST_TEXTS = 60
 START, END = 2, 3
 
 
@@ -308,3 +308,10 @@ def classified(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     threshold = F.coalesce("fine", "mid", F.lit(overall["all"] if overall else None).cast("double")) * slack
     out = out.withColumn("threshold", threshold)
     return out.select("id", "lang", "perplexity", "threshold", (F.col("perplexity").isNotNull() & ((F.col("perplexity") <= F.col("threshold")) | F.col("threshold").isNull())).alias("kept"))
+
+
+def filtered(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns.  Where rows with different texts
+    share an id, all go if one is rejected."""
+    gone = classified(df, labels, id_col, text_col, lang_col, **options).where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
+    return df.join(bounded(written(gone, "rejected")), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")

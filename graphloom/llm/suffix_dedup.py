@@ -25,9 +25,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import bounded, chunks, id_text, lists, utf8, written
 from .shingles import mix, stream
@@ -340,3 +342,31 @@ def stripped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     with_text = few.join(some, "id").where(F.sha2("text", 256) == F.lower(F.hex("digest")))
     kept = with_text.mapInArrow(_kept, "id long, n_bytes long, spans array<struct<lo:long,hi:long>>, digest binary, kept binary")
     return rest.select("id", "n_bytes", "spans", "digest", "kept").unionByName(kept)
+
+
+@F.pandas_udf(StringType())
+def _text_left(text: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for t, cuts in zip(text, spans):
+        raw, left, parts = t.encode(), 0, []
+        for c in cuts:
+            parts.append(raw[left : c["lo"]])
+            left = c["hi"]
+        parts.append(raw[left:])
+        out.append(b"".join(parts).decode(errors="ignore"))  # a character that was cut in two goes
+    return pd.Series(out, dtype=object)
+
+
+def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """``df`` with all its columns, its texts without the bytes of repeated passages; rows of which
+    nothing but white space is left of what was a text go."""
+    changed = spans(df, id_col, text_col, least).where(F.size("spans") > 0).groupBy(F.col("id").alias("__id"), "digest").agg(F.first("spans").alias("__spans"))
+    changed = written(changed.withColumn("__digest", F.lower(F.hex("digest"))).drop("digest"), "changed-texts")
+    ids = bounded(changed.select("__id").distinct())
+    own = F.col(f"`{id_col}`").cast("long") == F.col("__id")
+    same = df.join(ids, own, "left_anti")
+    some = df.join(ids, own, "left_semi").withColumn("__own", F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256))
+    some = some.join(changed, own & (F.col("__own") == F.col("__digest")), "left")
+    text = F.when(F.col("__spans").isNull(), F.col(f"`{text_col}`")).otherwise(_text_left(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.coalesce("__spans", F.expr("cast(array() as array<struct<lo:long,hi:long>>)"))))
+    some = some.withColumn(text_col, text).where(F.col("__spans").isNull() | (F.trim(F.col(f"`{text_col}`")) != "")).select(*[f"`{c}`" for c in df.columns])
+    return same.unionByName(some)
