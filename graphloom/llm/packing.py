@@ -19,6 +19,8 @@ a length's items together.
 from __future__ import annotations
 
 import json
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +33,8 @@ from pyspark.sql.window import Window
 from .common import chunks, id_text, utf8, written
 
 #: Words that a task remembers the ids of.
-TABLE = 400_000
-CHUNK = 2 << 20
+TABLE = 250_000
+CHUNK = 1 << 20
 #: Items that are numbered in one task, on average.
 ROWS_PER_LANE = 200_000
 
@@ -42,6 +44,7 @@ ROWS_PER_LANE = 200_000
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -57,7 +60,8 @@ def words_hold(path: str) -> bool:
         spec = json.load(f)
     norm = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
     norms = norm.get("normalizers", [norm])
-    plain = all(n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " ") for n in norms)
+    lowers = any(n["type"] == "Lowercase" for n in norms)
+    plain = lowers and all(n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " ") for n in norms)
     pre = spec.get("pre_tokenizer") or {}
     first = pre.get("pretokenizers", [pre])[0]
     drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
@@ -66,7 +70,119 @@ def words_hold(path: str) -> bool:
     return plain and drops and spaceless and not spec.get("post_processor")
 
 
-_ids: dict[str, dict[bytes, bytes]] = {}
+#: ASCII letters and digits; marks that often end a word; white space.
+_ALNUM, _MARK, _BLANK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(97, 123)]] = True
+_MARK[list(b".,;:!?")] = True
+_BLANK[list(b" \t\n\x0b\x0c\r")] = True
+#: A word by itself that is put between words; words that hold it are encoded alone.
+_BETWEEN = "\x01"
+
+
+class _Words(dict):
+    """A number for each distinct word, given when it is first looked up, and its ids by number."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+        self.ids: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def learn(self, path: str, kind: str) -> None:
+        for k in range(0, len(self.new), 20_000):
+            self.ids += _encoded_words(path, self.new[k : k + 20_000], kind)
+        self.new = []
+
+
+_tables: dict[str, _Words] = {}
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z and their accented forms up to U+00DE in lower case, as the tokenizer has them."""
+    low = data.copy()
+    low[(data >= 65) & (data <= 90)] += 32
+    second = np.zeros(len(data), bool)
+    second[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    low[second] += 32
+    return low
+
+
+def _marked_ends(low: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places of single marks that end a word (or a text) after an ASCII letter or digit: there
+    the pre-tokenizer cuts as well.  With a space put before them, words are seen again more often."""
+    after = np.ones(len(low), bool)
+    after[:-1] = _BLANK[low[1:]]
+    after[ends[ends > 0] - 1] = True
+    before = np.zeros(len(low), bool)
+    before[1:] = _ALNUM[low[:-1]]
+    starts = ends[:-1]
+    before[starts[starts < len(low)]] = False
+    return np.flatnonzero(_MARK[low] & after & before)
+
+
+#: Lower-case letters (ASCII, and U+00DF to U+00FF), then ASCII marks other than the apostrophe.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
+
+@lru_cache(maxsize=2)
+def _plain_tokenizer(path: str):
+    """The model of the tokenizer without its normaliser and pre-tokenizer, the byte-level alphabet,
+    and for each id whether it ends a pre-token; None if these aren't of the known kind."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    with open(path) as f:
+        spec = json.load(f)
+    model = spec["model"]
+    pres = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    levels = [p for p in pres if p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"]]
+    if model["type"] != "BPE" or len(pres) != 2 or len(levels) != 1 or not model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+        return None
+    # Bytes that print stand for themselves, the others for the code points from 256.
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printed)]
+    alphabet = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(others)}
+    del alphabet[32]  # stays between words
+    t = Tokenizer(_tokenizer(path).model)
+    t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    ends = np.zeros(t.get_vocab_size(), bool)
+    for token, k in t.get_vocab().items():
+        ends[k] = token.endswith(model["end_of_word_suffix"])
+    return t, alphabet, ends
+
+
+def _encoded_words(path: str, words: list[bytes], kind: str) -> list[bytes]:
+    """The ids of each word, by a few calls for all."""
+    t, plain = _tokenizer(path), _plain_tokenizer(path)
+    out: list[bytes | None] = [None] * len(words)
+    if plain:
+        model, alphabet, ends = plain
+        found = [(i, m.groups()) for i, w in enumerate(words) if (m := _PLAIN.fullmatch(w))]
+        for k in range(0, len(found), 1000):
+            part = found[k : k + 1000]
+            text = " ".join([f"{a} {b}" if b else a for _, (a, b) in ((i, (x.decode("latin-1"), y.decode())) for i, (x, y) in part)]).translate(alphabet)
+            ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
+            last = np.flatnonzero(ends[ids])[np.cumsum([2 if b else 1 for _, (_, b) in part]) - 1] + 1
+            raw, size, left = ids.tobytes(), ids.itemsize, 0
+            for (i, _), right in zip(part, last.tolist()):
+                out[i] = raw[left * size : right * size]
+                left = right
+    rest = [i for i, x in enumerate(out) if x is None]
+    own = t.encode(_BETWEEN, add_special_tokens=False).ids
+    texts = [words[i].decode() for i in rest]
+    if len(own) != 1 or any(_BETWEEN in x for x in texts):
+        for i, e in zip(rest, t.encode_batch_fast(texts, add_special_tokens=False)):
+            out[i] = np.array(e.ids, kind).tobytes()
+    elif rest:
+        ids = np.array(t.encode_batch_fast([f" {_BETWEEN} ".join(texts)], add_special_tokens=False)[0].ids, kind)
+        cut = np.flatnonzero(ids == own[0]).tolist()
+        raw, size = ids.tobytes(), ids.itemsize
+        for i, x, y in zip(rest, [-1, *cut], [*cut, len(ids)], strict=True):
+            out[i] = raw[(x + 1) * size : y * size]
+    return out
 
 
 def _tokens(path: str, end: int, whole: bool, width: int):
@@ -75,25 +191,26 @@ def _tokens(path: str, end: int, whole: bool, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(path)
         tail = np.array([end], kind).tobytes()
-        table = _ids.setdefault(path, {})
+        table = _tables.setdefault(path, _Words())
         for b in batches:
             data, off = utf8(b.column("text"))
             for i, j in chunks(off, CHUNK):
-                raw = data[off[i] : off[j]].tobytes()
-                at = (off[i : j + 1] - off[i]).tolist()
-                texts = [raw[x:y] for x, y in zip(at, at[1:])]
+                part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 if whole:
-                    found = t.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
-                    out = [np.array(e.ids, kind).tobytes() + tail for e in found]
+                    texts = b.column("text").slice(i, j - i).to_pylist()
+                    out = [np.array(e.ids, kind).tobytes() + tail for e in t.encode_batch_fast(texts, add_special_tokens=False)]
                 else:
-                    cut = [x.split() for x in texts]
+                    low = _lowered(part)
+                    marks = _marked_ends(low, at)
+                    raw = np.insert(low, marks, 32).tobytes()
+                    bounds = (at + np.searchsorted(marks, at)).tolist()
+                    cut = [raw[x:y].split() for x, y in zip(bounds, bounds[1:])]
                     if len(table) > TABLE:
-                        table.clear()
-                    new = list(set().union(*cut) - table.keys())
-                    for k in range(0, len(new), 20_000):
-                        part = new[k : k + 20_000]
-                        table.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)))
-                    out = [b"".join([table[w] for w in x]) + tail for x in cut]
+                        table = _tables[path] = _Words()
+                    numbers = [list(map(table.__getitem__, x)) for x in cut]
+                    table.learn(path, kind)
+                    known = table.ids.__getitem__
+                    out = [b"".join(map(known, x)) + tail for x in numbers]
                 yield pa.record_batch({"id": b.column("id").slice(i, j - i), "n": pa.array([len(x) // width for x in out], pa.int64()), "tokens": pa.array(out, pa.binary())})
 
     return run

@@ -19,7 +19,7 @@ def path():
 
 def texts(seed=1, n=300):
     r = random.Random(seed)
-    bits = ["Hello", "hello,", "don't", "1234", "é", "é", "日本語", "\U0001f600", "\x1c", "\x85", "\xa0", " ", "\t", "\n", "  ", " ", "<|endoftext|>", "İ", "Σ", "ς", "a", "́", "!!", "word_1", "\0"]
+    bits = ["É", "ÇÀ", "Ñandú...", "×", "÷", "straße,", "naïve!?", "x'll", "(a)", "é,", "K", "Hello", "hello,", "don't", "1234", "é", "é", "日本語", "\U0001f600", "\x1c", "\x85", "\xa0", " ", "\t", "\n", "  ", " ", "<|endoftext|>", "İ", "Σ", "ς", "a", "́", "!!", "word_1", "\0"]
     out = [None, "", " ", "\n"] + ["".join(r.choices(bits, k=r.randrange(1, 60))) for _ in range(n)]
     return out + ["many words here " * 6000, "x" * 20_000]
 
