@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, id_text, utf8, written
+from .common import chunks, id_text, release, utf8, written
 
 #: Words that a task remembers the ids of.
-TABLE = 250_000
+TABLE = 150_000
 CHUNK = 1 << 20
 #: Items that are numbered in one task, on average.
 ROWS_PER_LANE = 200_000
@@ -98,9 +98,6 @@ class _Words(dict):
         self.new = []
 
 
-_tables: dict[str, _Words] = {}
-
-
 def _lowered(data: np.ndarray) -> np.ndarray:
     """A-Z and their accented forms up to U+00DE in lower case, as the tokenizer has them."""
     low = data.copy()
@@ -191,7 +188,7 @@ def _tokens(path: str, end: int, whole: bool, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(path)
         tail = np.array([end], kind).tobytes()
-        table = _tables.setdefault(path, _Words())
+        table = _Words()
         for b in batches:
             data, off = utf8(b.column("text"))
             for i, j in chunks(off, CHUNK):
@@ -206,12 +203,14 @@ def _tokens(path: str, end: int, whole: bool, width: int):
                     bounds = (at + np.searchsorted(marks, at)).tolist()
                     cut = [raw[x:y].split() for x, y in zip(bounds, bounds[1:])]
                     if len(table) > TABLE:
-                        table = _tables[path] = _Words()
+                        table = _Words()
                     numbers = [list(map(table.__getitem__, x)) for x in cut]
                     table.learn(path, kind)
                     known = table.ids.__getitem__
                     out = [b"".join(map(known, x)) + tail for x in numbers]
                 yield pa.record_batch({"id": b.column("id").slice(i, j - i), "n": pa.array([len(x) // width for x in out], pa.int64()), "tokens": pa.array(out, pa.binary())})
+        del table
+        release()
 
     return run
 
@@ -379,6 +378,7 @@ def _sliced(width: int):
                     rows, size = [], 0
             if rows:
                 yield pa.record_batch([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for k, c in zip(names, zip(*rows))], names=names)
+        release()
 
     return run
 
