@@ -18,9 +18,9 @@ a length's items together.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from .common import chunks, id_text, release, utf8, written
 
 #: Words that a task remembers the ids of.
-TABLE = 150_000
+TABLE = 400_000
 CHUNK = 1 << 20
 #: Items that are numbered in one task, on average.
 ROWS_PER_LANE = 200_000
@@ -75,6 +75,9 @@ _ALNUM, _MARK, _BLANK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256,
 _ALNUM[[*range(48, 58), *range(97, 123)]] = True
 _MARK[list(b".,;:!?")] = True
 _BLANK[list(b" \t\n\x0b\x0c\r")] = True
+#: Second bytes of the letters U+00DF to U+00FF, after 0xC3.
+_ACCENTED = np.zeros(256, bool)
+_ACCENTED[[*range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = True
 #: A word by itself that is put between words; words that hold it are encoded alone.
 _BETWEEN = "\x01"
 
@@ -109,20 +112,31 @@ def _lowered(data: np.ndarray) -> np.ndarray:
 
 
 def _marked_ends(low: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The places of single marks that end a word (or a text) after an ASCII letter or digit: there
+    """The places of single marks that end a word (or a text) after a plain letter or a digit: there
     the pre-tokenizer cuts as well.  With a space put before them, words are seen again more often."""
     after = np.ones(len(low), bool)
     after[:-1] = _BLANK[low[1:]]
     after[ends[ends > 0] - 1] = True
     before = np.zeros(len(low), bool)
     before[1:] = _ALNUM[low[:-1]]
+    before[2:] |= _ACCENTED[low[1:-1]] & (low[:-2] == 0xC3)
     starts = ends[:-1]
     before[starts[starts < len(low)]] = False
+    before[starts[starts + 1 < len(low)] + 1] &= _ALNUM[low[starts[starts + 1 < len(low)]]]
     return np.flatnonzero(_MARK[low] & after & before)
 
 
-#: Lower-case letters (ASCII, and U+00DF to U+00FF), then ASCII marks other than the apostrophe.
-_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+def _plain(words: list[bytes]) -> np.ndarray:
+    """Which words have lower-case letters up to U+00FF only (of which the normaliser changes none)."""
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    letter = (data >= 97) & (data <= 122)
+    pair = (data[:-1] == 0xC3) & _ACCENTED[data[1:]]
+    letter[:-1] |= pair
+    letter[1:] |= pair
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    letter[starts[1:] - 1] = True  # the spaces between
+    return np.logical_and.reduceat(letter, starts)
 
 
 @lru_cache(maxsize=2)
@@ -157,14 +171,14 @@ def _encoded_words(path: str, words: list[bytes], kind: str) -> list[bytes]:
     out: list[bytes | None] = [None] * len(words)
     if plain:
         model, alphabet, ends = plain
-        found = [(i, m.groups()) for i, w in enumerate(words) if (m := _PLAIN.fullmatch(w))]
+        found = np.flatnonzero(_plain(words)).tolist() if words else []
         for k in range(0, len(found), 1000):
             part = found[k : k + 1000]
-            text = " ".join([f"{a} {b}" if b else a for _, (a, b) in ((i, (x.decode("latin-1"), y.decode())) for i, (x, y) in part)]).translate(alphabet)
+            text = b" ".join([words[i] for i in part]).decode("latin-1").translate(alphabet)
             ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
-            last = np.flatnonzero(ends[ids])[np.cumsum([2 if b else 1 for _, (_, b) in part]) - 1] + 1
+            last = np.flatnonzero(ends[ids]) + 1
             raw, size, left = ids.tobytes(), ids.itemsize, 0
-            for (i, _), right in zip(part, last.tolist()):
+            for i, right in zip(part, last.tolist(), strict=True):
                 out[i] = raw[left * size : right * size]
                 left = right
     rest = [i for i, x in enumerate(out) if x is None]
@@ -189,6 +203,7 @@ def _tokens(path: str, end: int, whole: bool, width: int):
         t = _tokenizer(path)
         tail = np.array([end], kind).tobytes()
         table = _Words()
+        gc.disable()  # words make no cycles
         for b in batches:
             data, off = utf8(b.column("text"))
             for i, j in chunks(off, CHUNK):
@@ -210,6 +225,7 @@ def _tokens(path: str, end: int, whole: bool, width: int):
                     out = [b"".join(map(known, x)) + tail for x in numbers]
                 yield pa.record_batch({"id": b.column("id").slice(i, j - i), "n": pa.array([len(x) // width for x in out], pa.int64()), "tokens": pa.array(out, pa.binary())})
         del table
+        gc.enable()
         release()
 
     return run
