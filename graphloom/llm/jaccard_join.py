@@ -5,11 +5,12 @@ A text's set is that of its distinct word shingles.  Two texts link when
 
 Shingles are hashed into groups.  Equal sets are one point.  To bring near
 points together on a cluster, sizes are cut into bands and each band has so many
-groups that two linked sets must have equal contents in two groups at least;
-each set sends a signature per group, for its band and the next one.  Sets that
-share a signature (of which most are true near copies) form clusters.
+groups that two linked sets must have equal contents in some of them; each set
+sends a signature per group, for its band and the next one.  Sets that share a
+signature and whose count vectors let them link form clusters.
 
-Within a cluster, the counts per group are points of an R-tree.  The overlap of
+The counts per group are points of an R-tree, within a signature's members and
+within a cluster.  The overlap of
 two sets is at most the sum of their coordinate minima, and the same holds for
 a point and the upper corner of a node, so whole nodes are set aside; pairs
 that survive are verified on their shingles, unless they are connected already.
@@ -38,15 +39,28 @@ FANOUT = 16
 TILE_SHINGLES, TILE_SETS = 2_000_000, 4096
 
 
-def bands(num: int, den: int, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """The least size of each band up to size ``top`` (and two beyond), and the number of groups of
-    each band (0 if only equal sets link).  Linked sets are in the same band or in neighbouring ones."""
+def bands(num: int, den: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least size of each band up to size ``top`` (and two beyond), its number of groups (0 if only
+    equal sets link) and the number of groups in which linked sets are equal at least.
+
+    Linked sets are in the same band or in neighbouring ones, and differ in ``differ`` shingles at most,
+    so all but as many groups are equal.  There are enough of these that some will have contents: more
+    than the groups that are empty by chance.
+    """
     least = [1]
     while least[-1] <= top or len(least) < 3:
         least.append(max(least[-1] + 1, -(-least[-1] * den // num)))
     least += [max(least[-1] + 1, -(-least[-1] * den // num))]
-    differ = [(den - num) * 2 * (b - 1) // (den + num) for b in least[1:]]
-    return np.array(least[:-1]), np.array([d + 2 if d else 0 for d in differ])
+    groups, equal = [], []
+    for k, above in enumerate(least[1:]):
+        differ = (den - num) * 2 * (above - 1) // (den + num)
+        smallest, extra = least[max(0, k - 1)], 2
+        for _ in range(3):
+            empty = (differ + extra) * np.exp(-smallest / (differ + extra))
+            extra = 2 + int(np.ceil(empty + 5 * np.sqrt(empty)))
+        groups.append(differ + extra if differ else 0)
+        equal.append(extra)
+    return np.array(least[:-1]), np.array(groups), np.array(equal)
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +88,7 @@ def digests(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def signatures(h: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of each set, and each set's first one (with the end)."""
     sizes = np.diff(bounds)
-    least, groups = bands(num, den, int(sizes.max(initial=1)))
+    least, groups, equal = bands(num, den, int(sizes.max(initial=1)))
     row = np.repeat(np.arange(len(sizes)), sizes)
     own = np.searchsorted(least, sizes, side="right") - 1
     found, owner = [], []
@@ -90,9 +104,12 @@ def signatures(h: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[n
         np.add.at(total, slot, mix(x ^ np.uint64(0x2545F4914F6CDD1D)))
         empty = np.bincount(slot, minlength=len(total)) == 0
         set_of = np.repeat(np.arange(len(n)), n)
-        # Of the two groups or more that linked sets share one has contents, unless both sets have two empty ones.
-        several = np.bincount(set_of[empty], minlength=len(n)) >= 2
-        keep = ~empty | several[set_of]
+        # If the equal groups of linked sets are all empty, both have that many empty groups or more, and the
+        # first one in common is among the first of each that are sent here.
+        spare = np.bincount(set_of[empty], minlength=len(n)) - equal[band] + 1
+        before = np.cumsum(empty) - empty
+        nth = before - before[np.minimum(base[set_of], len(before) - 1)] if len(before) else before
+        keep = ~empty | (nth < spare[set_of])
         place = np.arange(len(total)) - base[set_of]
         tag = mix((band[set_of] * 1_000_003 + place).astype(np.uint64))
         found.append(mix(total ^ tag)[keep])
@@ -142,9 +159,7 @@ def local_join(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray |
     ``labels``: what is connected already; ``side``: only sets of different sides are compared."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    vectors = np.zeros((m, DIMS), np.int32)
-    for i, s in enumerate(sets):
-        vectors[i] = np.bincount((s >> np.uint64(40)).astype(np.int64) % DIMS, minlength=DIMS)
+    vectors = _vectors(np.concatenate(sets), np.append(0, np.cumsum(sizes)))
     tree = CountTree(vectors, sizes)
     order = tree.order
     group = np.unique(labels, return_inverse=True)[1][order] if labels is not None else np.arange(m)
@@ -168,7 +183,7 @@ def local_join(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray |
 
 
 def _points(k: int, full: bool):
-    """id, n and two digests of each text's set, and its shingles where ``full``."""
+    """id, n and two digests of each text's set, and its shingles or (not ``full``) its count vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,7 +192,8 @@ def _points(k: int, full: bool):
                 h, bounds = sets_of(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 d1, d2 = digests(h, bounds)
                 out = {"id": b.column("id").slice(i, j - i), "n": pa.array(np.diff(bounds)), "d1": pa.array(d1), "d2": pa.array(d2)}
-                yield pa.record_batch(out | ({"hashes": lists(h.view(np.int64), bounds[1:], pa.int64())} if full else {}))
+                more = {"hashes": lists(h.view(np.int64), bounds[1:], pa.int64())} if full else {"vector": pa.array([x.tobytes() for x in _vectors(h, bounds)], pa.binary())}
+                yield pa.record_batch(out | more)
 
     return run
 
@@ -200,24 +216,86 @@ def _signed(k: int, num: int, den: int):
     return run
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of signature and uid: each uid with the first of its signature."""
-    last_s, last_u = None, 0
+#: Members of a signature up to which they are checked together; those of larger ones are taken as candidates.
+MEMBERS = 4096
+
+
+def _member_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of signature and uid: the members of each signature that has several, with a
+    hash of the list.  Longer lists come in parts that share their first member (and have no hash)."""
+    def told(members: list[np.ndarray], whole: list[bool]) -> pa.RecordBatch:
+        with np.errstate(over="ignore"):
+            keys = [int(mix(np.array([np.sum(mix(m.view(np.uint64) ^ np.uint64(len(m))))]))[0].view(np.int64)) if w else None for m, w in zip(members, whole)]
+        return pa.record_batch({"list": pa.array(keys, pa.int64()), "members": lists(np.concatenate(members), np.cumsum([len(m) for m in members]), pa.int64())})
+
+    held_s, held, long = None, np.zeros(0, np.int64), False
     for b in batches:
         s, u = b.column("s").to_numpy(), b.column("uid").to_numpy()
         if not len(s):
             continue
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        new[0] = last_s is None or s[0] != last_s
-        first = np.flatnonzero(new)
-        lead = np.full(len(s), last_u, np.int64)
-        if len(first):
-            lead[first[0] :] = np.repeat(u[first], np.diff(np.append(first, len(s))))
-        last_s, last_u = int(s[-1]), int(lead[-1])
-        pairs = np.unique(np.stack([lead, u], axis=1)[lead != u], axis=0)
-        if len(pairs):
-            yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        cut = np.flatnonzero(s[1:] != s[:-1]) + 1
+        bounds = np.concatenate([[0], cut, [len(s)]])
+        out, whole = [], []
+        if s[0] == held_s:
+            held = np.concatenate([held, u[: bounds[1]]])
+            start = 1
+        else:
+            start = 0
+        if start < len(bounds) - 1 or len(bounds) > 2:  # what is held is complete
+            if len(held) > 1:
+                out.append(held)
+                whole.append(not long and len(held) <= MEMBERS)
+            held, long = np.zeros(0, np.int64), False
+            sizes = np.diff(bounds)
+            for k in (np.flatnonzero(sizes[start:-1] > 1) + start).tolist():
+                out.append(u[bounds[k] : bounds[k + 1]])
+                whole.append(sizes[k] <= MEMBERS)
+            held, held_s = u[bounds[-2] :], s[-1]
+        if len(held) > MEMBERS:
+            out.append(held)
+            whole.append(False)
+            held, long = held[:1], True
+        if out:
+            yield told(out, whole)
+    if len(held) > 1:
+        yield told([held], [not long and len(held) <= MEMBERS])
+
+
+def _vectors(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Counts of each set's shingles in DIMS groups."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = row * DIMS + ((h >> np.uint64(40)) % np.uint64(DIMS)).astype(np.int64)
+    return np.bincount(at, minlength=(len(bounds) - 1) * DIMS).reshape(-1, DIMS).astype(np.int32)
+
+
+def _near_members(num: int, den: int):
+    """Of rows in order of list: members whose overlap bounds let them link, directly or by others, as
+    pairs with the first of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["list"]):
+            uid, n = t.column("uid").to_numpy(), t.column("n").to_numpy()
+            v = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.int32).reshape(-1, DIMS)
+            m = len(uid)
+            if m == 2:
+                bound = np.minimum(v[0], v[1]).sum()
+                root = np.array([0, 0 if bound * (num + den) >= num * (n[0] + n[1]) else 1])
+            else:
+                tree = CountTree(v, n)
+                group = np.arange(m)
+                for p in range(m):
+                    i = tree.order[p]
+                    near = tree.near(v[i], int(n[i]), num, den, p)
+                    near = near[(near > p) & (group[near] != group[p])]
+                    for g in np.unique(group[near]).tolist():
+                        group[group == g] = group[p]
+                root = np.empty(m, np.int64)
+                root[tree.order] = tree.order[np.unique(group, return_index=True)[1]][np.unique(group, return_inverse=True)[1]]
+            far = np.flatnonzero(root != np.arange(m))
+            if len(far):
+                yield pa.record_batch({"a": pa.array(uid[root[far]]), "b": pa.array(uid[far])})
+
+    return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -312,15 +390,20 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     columns of ``df`` are not read.
     """
     rows = id_text(df, id_col, text_col)
-    points = written(rows.mapInArrow(_points(k, False), "id long, n long, d1 long, d2 long"), "points")
+    points = written(rows.mapInArrow(_points(k, False), "id long, n long, d1 long, d2 long, vector binary"), "points")
     key = ["d1", "d2", "n"]
-    sets = points.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"))
+    sets = points.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.min("vector").alias("vector"))
     sets = written(sets.withColumn("uid", F.monotonically_increasing_id()), "sets")
     # One text of each set is read again and sends its signatures.
     asked = rows.join(bounded(sets.select("uid", "d1", "d2", F.col("rep").alias("id"))), "id")
     sent = asked.mapInArrow(_signed(k, num, den), "uid long, s long")
-    pairs = sent.repartition("s").sortWithinPartitions("s", "uid").mapInArrow(_stars, "a long, b long")
-    clusters = components(pairs)
+    found = written(sent.repartition("s").sortWithinPartitions("s", "uid").mapInArrow(_member_lists, "list long, members array<long>"), "member-lists")
+    # Near copies share most of their signatures: the same list of members counts once.
+    once = found.where("list is not null").groupBy("list").agg(F.first("members").alias("members"))
+    rows_of = once.select("list", F.explode("members").alias("uid")).join(sets.select("uid", "n", "vector"), "uid")
+    pairs = rows_of.repartition("list").sortWithinPartitions("list", "uid").mapInArrow(_near_members(num, den), "a long, b long")
+    many = found.where("list is null").select(F.col("members")[0].alias("a"), F.explode("members").alias("b"))
+    clusters = components(pairs.unionByName(many))
     member = written(sets.join(clusters, sets.uid == clusters.node).select("uid", "rep", *key, F.col("root").alias("cluster")), "members")
     few = rows.join(bounded(member.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
     full = few.mapInArrow(_points(k, True), "id long, n long, d1 long, d2 long, hashes array<long>").withColumnRenamed("id", "rep")

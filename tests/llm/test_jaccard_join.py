@@ -87,6 +87,28 @@ def test_linked_sets_share_a_signature():
             assert len(np.intersect1d(s[: at[1]], s[at[1] :]))
 
 
+def test_member_lists(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(9)
+    for most in (3, 4096):
+        monkeypatch.setattr(jj, "MEMBERS", most)
+        for _ in range(50):
+            rows = sorted({(r.randrange(12), r.randrange(40)) for _ in range(r.randrange(1, 120))})
+            cut = sorted(r.choices(range(len(rows) + 1), k=3))
+            parts = [rows[a:b] for a, b in zip([0, *cut], [*cut, len(rows)])]
+            batches = [pa.record_batch({"s": pa.array([x for x, _ in p], pa.int64()), "uid": pa.array([y for _, y in p], pa.int64())}) for p in parts]
+            by = {}
+            for s, u in rows:
+                by.setdefault(s, set()).add(u)
+            got = [(x, set(m)) for b in jj._member_lists(iter(batches)) for x, m in zip(b.column("list").to_pylist(), b.column("members").to_pylist())]
+            assert sorted(sorted(m) for x, m in got if x is not None) == sorted(sorted(m) for m in by.values() if 1 < len(m) <= most)
+            long = [m for m in by.values() if len(m) > most]
+            for m in long:
+                inside = [g for x, g in got if x is None and g <= m]
+                assert set().union(*inside) == m and len({min(g) for g in inside}) <= max(1, len(inside))
+
+
 def test_tree_lets_no_link_go():
     r = np.random.default_rng(7)
     v = r.integers(0, 9, (300, jj.DIMS))
