@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -98,29 +100,35 @@ class _Reservoirs:
         self.closed = np.zeros(wedges, bool)
         self.seen, self.total = 0, 0
 
-    def _near(self, v: int, edges: set[tuple[int, int]]) -> set[int]:
-        return {y if x == v else x for x, y in edges if v in (x, y)}
-
     def add(self, a: int, b: int) -> None:
         self.seen += 1
         ends = self.wedges[:, 1:]
-        self.closed |= ((ends[:, 0] == min(a, b)) & (ends[:, 1] == max(a, b)))
+        self.closed |= (ends[:, 0] == min(a, b)) & (ends[:, 1] == max(a, b))
         hit = np.flatnonzero(self.rng.random(len(self.slots)) < 1 / self.seen)
         if not len(hit):
             return
         for k in hit:
             self.slots[k] = (a, b)
-        held = {e for e in self.slots if e}
-        degree: dict[int, int] = {}
-        for x, y in held:
-            degree[x] = degree.get(x, 0) + 1
-            degree[y] = degree.get(y, 0) + 1
-        self.total = sum(d * (d - 1) // 2 for d in degree.values())
-        new = [(m, *sorted((u, o))) for m, o in ((a, b), (b, a)) for u in self._near(m, held) if u != o]
-        if not new or not self.total:
+        # Slots, not different edges, are counted: that keeps the estimate of wedges unbiased.
+        held = Counter(e for e in self.slots if e)
+        degree: Counter[int] = Counter()
+        for (x, y), n in held.items():
+            degree[x] += n
+            degree[y] += n
+        self.total = sum(d * (d - 1) // 2 for d in degree.values()) - sum(n * (n - 1) for n in held.values())
+        new: list[tuple[int, int, int]] = []
+        weight: list[int] = []
+        for middle, end in ((a, b), (b, a)):
+            for (x, y), n in held.items():
+                if middle in (x, y) and (x, y) != (a, b):
+                    u = y if x == middle else x
+                    new.append((middle, min(u, end), max(u, end)))
+                    weight.append(n * len(hit))
+        if not new or self.total <= 0:
             return
-        for k in np.flatnonzero(self.rng.random(len(self.wedges)) < len(new) / self.total):
-            self.wedges[k] = new[int(self.rng.integers(len(new)))]
+        share = np.array(weight) / sum(weight)
+        for k in np.flatnonzero(self.rng.random(len(self.wedges)) < sum(weight) / self.total):
+            self.wedges[k] = new[int(self.rng.choice(len(new), p=share))]
             self.closed[k] = False
 
     def estimate(self) -> tuple[float, float]:
