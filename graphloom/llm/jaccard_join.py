@@ -32,8 +32,8 @@ from .components import components
 from .shingles import lower_ascii, mix, shingles, words
 
 CHUNK = 1 << 20
-#: Coordinates of a count vector.
-DIMS = 64
+#: Coordinates of a count vector: a power of two, so many at least, and one for so many shingles.
+DIMS, PER_DIM = 64, 8
 FANOUT = 16
 #: Shingles (of all sets together) and sets that one tile holds on average.
 TILE_SHINGLES, TILE_SETS = 2_000_000, 4096
@@ -159,14 +159,15 @@ def local_join(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray |
     ``labels``: what is connected already; ``side``: only sets of different sides are compared."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    vectors = _vectors(np.concatenate(sets), np.append(0, np.cumsum(sizes)))
-    tree = CountTree(vectors, sizes)
+    d = int(dims_for(sizes.min(keepdims=True))[0])
+    counts = vectors(np.concatenate(sets), np.append(0, np.cumsum(sizes)), np.full(m, d))[0].reshape(m, d).astype(np.int32)
+    tree = CountTree(counts, sizes)
     order = tree.order
     group = np.unique(labels, return_inverse=True)[1][order] if labels is not None else np.arange(m)
     sides = side[order] if side is not None else None
     for p in range(m):
         a = sets[order[p]]
-        near = tree.near(vectors[order[p]], len(a), num, den, p)
+        near = tree.near(counts[order[p]], len(a), num, den, p)
         near = near[near > p]
         if sides is not None:
             near = near[sides[near] != sides[p]]
@@ -182,6 +183,12 @@ def local_join(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray |
     return root
 
 
+def _vector_column(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    flat, base = vectors(h, bounds, dims_for(np.diff(bounds)))
+    raw, at = flat.tobytes(), (2 * base).tolist()
+    return pa.array([raw[x:y] for x, y in zip(at, at[1:])], pa.binary())
+
+
 def _points(k: int, full: bool):
     """id, n and two digests of each text's set, and its shingles or (not ``full``) its count vector."""
 
@@ -192,7 +199,7 @@ def _points(k: int, full: bool):
                 h, bounds = sets_of(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 d1, d2 = digests(h, bounds)
                 out = {"id": b.column("id").slice(i, j - i), "n": pa.array(np.diff(bounds)), "d1": pa.array(d1), "d2": pa.array(d2)}
-                more = {"hashes": lists(h.view(np.int64), bounds[1:], pa.int64())} if full else {"vector": pa.array([x.tobytes() for x in _vectors(h, bounds)], pa.binary())}
+                more = {"hashes": lists(h.view(np.int64), bounds[1:], pa.int64())} if full else {"vector": _vector_column(h, bounds)}
                 yield pa.record_batch(out | more)
 
     return run
@@ -261,39 +268,84 @@ def _member_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield told([held], [not long and len(held) <= MEMBERS])
 
 
-def _vectors(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Counts of each set's shingles in DIMS groups."""
+def dims_for(sizes: np.ndarray) -> np.ndarray:
+    """Coordinates for sets of these sizes.  With a fixed number, the counts of long texts would all
+    look alike."""
+    need = np.maximum(sizes // PER_DIM, DIMS)
+    return np.left_shift(1, np.ceil(np.log2(need)).astype(np.int64))
+
+
+def vectors(h: np.ndarray, bounds: np.ndarray, dims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each set's shingles in ``dims`` groups (by set), flat, and each set's first one (with the end)."""
+    base = np.append(0, np.cumsum(dims))
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    at = row * DIMS + ((h >> np.uint64(40)) % np.uint64(DIMS)).astype(np.int64)
-    return np.bincount(at, minlength=(len(bounds) - 1) * DIMS).reshape(-1, DIMS).astype(np.int32)
+    at = base[row] + ((h >> np.uint64(24)) & (dims[row] - 1).astype(np.uint64)).astype(np.int64)
+    return np.bincount(at, minlength=int(base[-1])).astype(np.uint16), base
+
+
+def _folded(v: np.ndarray, dims: int) -> np.ndarray:
+    """Fewer coordinates of a vector: those with the same last bits are added."""
+    return v.reshape(-1, dims).sum(axis=0, dtype=np.int32)
 
 
 def _near_members(num: int, den: int):
     """Of rows in order of list: members whose overlap bounds let them link, directly or by others, as
-    pairs with the first of them."""
+    pairs with one of them."""
+
+    def pairs(uid: np.ndarray, n: np.ndarray, flat: np.ndarray, at: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+        dims, out = np.diff(at), []
+        sizes = np.diff(first)
+        two = first[:-1][sizes == 2]
+        same = dims[two] == dims[two + 1]
+        for d in np.unique(dims[two[same]]).tolist():
+            i = two[same & (dims[two] == d)]
+            for k in range(0, len(i), max(1, (1 << 20) // d)):
+                x = i[k : k + max(1, (1 << 20) // d)]
+                cols = np.arange(d)
+                bound = np.minimum(flat[at[x][:, None] + cols], flat[at[x + 1][:, None] + cols]).sum(axis=1, dtype=np.int64)
+                near = x[bound * (num + den) >= num * (n[x] + n[x + 1])]
+                out += zip(uid[near].tolist(), uid[near + 1].tolist())
+        more = np.concatenate([two[~same], first[:-1][sizes > 2]])
+        stop = dict(zip(first[:-1].tolist(), first[1:].tolist()))
+        for lo in more.tolist():
+            hi = stop[lo]
+            d = int(dims[lo:hi].min())
+            v = np.stack([_folded(flat[at[r] : at[r + 1]], d) for r in range(lo, hi)])
+            tree, group = CountTree(v, n[lo:hi]), np.arange(hi - lo)
+            for p in range(hi - lo):
+                i = tree.order[p]
+                near = tree.near(v[i], int(n[lo + i]), num, den, p)
+                near = near[(near > p) & (group[near] != group[p])]
+                if len(near):
+                    group[np.isin(group, group[near])] = group[p]
+            head = tree.order[np.unique(group, return_index=True)[1]][np.unique(group, return_inverse=True)[1]]
+            out += [(int(uid[lo + a]), int(uid[lo + b])) for a, b in zip(head.tolist(), tree.order.tolist()) if a != b]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["list"]):
-            uid, n = t.column("uid").to_numpy(), t.column("n").to_numpy()
-            v = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.int32).reshape(-1, DIMS)
-            m = len(uid)
-            if m == 2:
-                bound = np.minimum(v[0], v[1]).sum()
-                root = np.array([0, 0 if bound * (num + den) >= num * (n[0] + n[1]) else 1])
-            else:
-                tree = CountTree(v, n)
-                group = np.arange(m)
-                for p in range(m):
-                    i = tree.order[p]
-                    near = tree.near(v[i], int(n[i]), num, den, p)
-                    near = near[(near > p) & (group[near] != group[p])]
-                    for g in np.unique(group[near]).tolist():
-                        group[group == g] = group[p]
-                root = np.empty(m, np.int64)
-                root[tree.order] = tree.order[np.unique(group, return_index=True)[1]][np.unique(group, return_inverse=True)[1]]
-            far = np.flatnonzero(root != np.arange(m))
-            if len(far):
-                yield pa.record_batch({"a": pa.array(uid[root[far]]), "b": pa.array(uid[far])})
+        held: pa.Table | None = None
+
+        def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            key = t.column("list").to_numpy()
+            first = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            data, off = utf8(t.column("vector").combine_chunks().cast(pa.large_binary()) if t.column("vector").num_chunks != 1 else t.column("vector").chunk(0))
+            found = pairs(t.column("uid").to_numpy(), t.column("n").to_numpy(), np.frombuffer(data.tobytes(), np.uint16), off // 2, first)
+            if found:
+                a, b = zip(*found)
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            key = t.column("list").to_numpy()
+            last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+            if last:
+                yield from solved(t.slice(0, last).combine_chunks())
+            held = t.slice(last)
+        if held is not None:
+            yield from solved(held.combine_chunks())
 
     return run
 

@@ -58,6 +58,18 @@ def fixture(seed, n=25):
     return list(zip(ids, texts))
 
 
+def test_bounds_of_folded_vectors():
+    r = np.random.default_rng(8)
+    for _ in range(100):
+        a = np.unique(r.integers(0, 2**63, int(r.integers(1, 3000)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: int(r.integers(0, len(a) + 1))], r.integers(0, 2**63, int(r.integers(1, 900)), dtype=np.uint64)]))
+        dims = jj.dims_for(np.array([len(a), len(b)]))
+        flat, base = jj.vectors(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), dims)
+        d = int(dims.min())
+        x, y = jj._folded(flat[: base[1]], d), jj._folded(flat[base[1] :], d)
+        assert x.sum() == len(a) and np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
+
+
 @pytest.mark.parametrize("seed,k,num,den,tile", [(1, 3, 90, 100, 4096), (2, 3, 90, 100, 3), (3, 5, 80, 100, 4096)])
 def test_classes(spark, seed, k, num, den, tile):
     rows = fixture(seed)
