@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, id_text, utf8, written
+from .common import bounded, chunks, id_text, release, utf8, written
 
 #: A-Z to a-z, all other bytes as they are.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+#: Bytes of text that are digested at once.
+CHUNK = 4 << 20
 #: Bits of the filter over hits; fixed, so what is broadcast never grows.
 FILTER_BITS = 1 << 23
 _PROBES = 3
@@ -35,9 +37,12 @@ SLICE_ROWS = 2048
 
 def _digests(column: pa.Array, size: int) -> list[bytes]:
     data, off = utf8(column)
-    raw = data.tobytes().translate(_FOLD)
-    at = off.tolist()
-    return [hashlib.sha256(raw[a:b]).digest()[:size] for a, b in zip(at, at[1:])]
+    out = []
+    for i, j in chunks(off, CHUNK):
+        raw = data[off[i] : off[j]].tobytes().translate(_FOLD)
+        at = (off[i : j + 1] - off[i]).tolist()
+        out += [hashlib.sha256(raw[a:b]).digest()[:size] for a, b in zip(at, at[1:])]
+    return out
 
 
 def _memtables(size: int, most: int):
@@ -64,6 +69,8 @@ def _memtables(size: int, most: int):
                 keys, order = [], []
         if keys:
             yield flush(keys, order)
+        keys, order = [], []
+        release()
 
     return run
 
@@ -137,15 +144,19 @@ def _probed(size: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for b in batches:
-            data, off = utf8(b.column("text"))
-            at = off.tolist()
-            folded = data.tobytes().translate(_FOLD)
-            parts = [folded[x:y] for x, y in zip(at, at[1:])]
-            digests = [hashlib.sha256(x).digest()[:size] for x in parts]
-            probes = np.array([_places(d) for d in digests], np.int64).reshape(-1, _PROBES)
-            hit = ((bits[probes // 32] >> (probes % 32).astype(np.uint32)) & 1).all(axis=1)
-            kept = [x if h else None for x, h in zip(parts, hit.tolist())]
-            yield pa.record_batch({"id": b.column("id"), "order": b.column("order"), "digest": pa.array(digests, pa.binary()), "folded": pa.array(kept, pa.binary()), "hit": pa.array(hit)})
+            _, off = utf8(b.column("text"))
+            for i, j in chunks(off, CHUNK):
+                part = b.slice(i, j - i)
+                data, at = utf8(part.column("text"))
+                at = at.tolist()
+                folded = data.tobytes().translate(_FOLD)
+                texts = [folded[x:y] for x, y in zip(at, at[1:])]
+                digests = [hashlib.sha256(x).digest()[:size] for x in texts]
+                probes = np.array([_places(d) for d in digests], np.int64).reshape(-1, _PROBES)
+                hit = ((bits[probes // 32] >> (probes % 32).astype(np.uint32)) & 1).all(axis=1)
+                kept = [x if h else None for x, h in zip(texts, hit.tolist())]
+                yield pa.record_batch({"id": part.column("id"), "order": part.column("order"), "digest": pa.array(digests, pa.binary()), "folded": pa.array(kept, pa.binary()), "hit": pa.array(hit)})
+        release()
 
     return run
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, id_text, lists, utf8, written
+from .common import bounded, chunks, id_text, lists, release, utf8, written
 from .components import components
 from .shingles import lower_ascii, mix, shingles, words
 
@@ -201,6 +201,7 @@ def _points(k: int, full: bool):
                 out = {"id": b.column("id").slice(i, j - i), "n": pa.array(np.diff(bounds)), "d1": pa.array(d1), "d2": pa.array(d2)}
                 more = {"hashes": lists(h.view(np.int64), bounds[1:], pa.int64())} if full else {"vector": _vector_column(h, bounds)}
                 yield pa.record_batch(out | more)
+        release()
 
     return run
 
@@ -219,6 +220,7 @@ def _signed(k: int, num: int, den: int):
                 who = np.repeat(np.arange(j - i), np.diff(ends))
                 keep = ((d1 == a1[i:j]) & (d2 == a2[i:j]))[who]
                 yield pa.record_batch({"uid": pa.array(uid[i:j][who[keep]]), "s": pa.array(values[keep])})
+        release()
 
     return run
 
@@ -346,6 +348,8 @@ def _near_members(num: int, den: int):
             held = t.slice(last)
         if held is not None:
             yield from solved(held.combine_chunks())
+        held = None
+        release()
 
     return run
 
@@ -391,6 +395,7 @@ def _join_tiles(num: int, den: int, key: list[str], paired: bool):
             labels = t.column("root").to_numpy() if paired else None
             root = local_join(sets, num, den, labels, t.column("tile").to_numpy() if paired else None)
             yield pa.record_batch({"uid": pa.array(uid), "root": pa.array(uid[root])})
+        release()
 
     return run
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, utf8, written
+from .common import bounded, chunks, release, utf8, written
 
 ORDER = 5
 BITS = 12
@@ -30,7 +30,7 @@ BITS = 12
 FLOOR = 1.0 / (1 << BITS)
 #: Entries of a model that is broadcast, at most (some 50 MB); larger ones are joined by shard.
 BROADCAST_ENTRIES = 4_000_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Rows of one block, where blocks are joined with a model's shards.
 BLOCK_ROWS = 5000
 QUANTILE = 0.995
@@ -74,15 +74,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(k)
             counts.append(n)
             held += len(k)
-            if held > 4_000_000:
+            if held > 1_000_000:
                 k, n = merge()
                 keys, counts, held = [k], [n], len(k)
-                if held > 2_000_000:
+                if held > 800_000:
                     yield pa.record_batch({"key": pa.array(k), "n": pa.array(n)})
                     keys, counts, held = [], [], 0
     if held:
         k, n = merge()
+        keys, counts = [], []
         yield pa.record_batch({"key": pa.array(k), "n": pa.array(n)})
+    release()
 
 
 def _suffix(order: int) -> Column:
@@ -226,6 +228,8 @@ def _scored_here(rows: DataFrame, grams: DataFrame, contexts: DataFrame, schema:
                 part = b.slice(i, j - i)
                 keys, bounds = ngrams(part.column("text").to_pylist())
                 yield pa.record_batch({"id": part.column("id"), "chars": pa.array(np.diff(bounds) - 1), "perplexity": pa.array(_perplexity(made[0].logs(keys), bounds))})
+        made.clear()
+        release()
 
     return rows.mapInArrow(run, schema)
 

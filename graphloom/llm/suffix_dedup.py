@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import bounded, chunks, id_text, lists, utf8, written
+from .common import bounded, chunks, id_text, lists, release, utf8, written
 from .shingles import mix, stream
 
 LEAST = 200
@@ -112,6 +112,7 @@ def _anchors(least: int):
                 digest = [hashlib.sha256(raw[x:y]).digest() for x, y in zip(cut, cut[1:])]
                 ends = np.searchsorted(row, np.arange(j - i), side="right")
                 yield pa.record_batch({"id": b.column("id").slice(i, j - i), "digest": pa.array(digest, pa.binary()), "n_bytes": pa.array(np.diff(at)), "anchors": lists(key.view(np.int64), ends, pa.int64())})
+        release()
 
     return run
 
@@ -155,6 +156,7 @@ def _cut_runs(least: int):
                 if out:
                     k, w, lead, r, x, n, again = zip(*out)
                     yield pa.record_batch({"key": pa.array(k, pa.int64()), "uid": pa.array(uids[i:j][list(r)], pa.int64()), "place": pa.array(x, pa.int64()), "windows": pa.array(n, pa.int64()), "bytes": pa.array(w, pa.binary()), "lead": pa.array(lead, pa.bool_()), "again": pa.array(again, pa.bool_())})
+        release()
 
     return run
 
@@ -261,6 +263,8 @@ def _repeats(least: int):
                 yield told(found)
         if held and (found := list(solve(held))):
             yield told(found)
+        held = []
+        release()
 
     return run
 
