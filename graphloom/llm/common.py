@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept on the executors' disks for the plans that read it.
+
+    For tables that come out the same when they are made again: what a lost executor held is then
+    recomputed.  Tables with ids that Spark gives out, and loops, need :func:`written`.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table of :func:`written` that no later plan reads."""
     path = getattr(df, "_graphloom_path", None)

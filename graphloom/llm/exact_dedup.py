@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, chunks, id_text, release, utf8, written
+from .common import bounded, chunks, id_text, kept, release, utf8
 
 #: A-Z to a-z, all other bytes as they are.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -106,12 +106,12 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     rows = id_text(df, id_col, text_col).withColumn("order", F.col("id") * sign)
     runs = rows.select("order", "text").mapInArrow(_memtables(digest_bytes, memtable_rows), "digest binary, best long, n long")
     index = runs.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))  # compaction
-    hits = written(index.where("n > 1"), "dedup-hits")
+    hits = kept(index.where("n > 1"))
     seen = np.frombuffer(_filter(hits), np.uint32)
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(seen)
 
-    table = written(rows.mapInArrow(_probed(digest_bytes, sent), "id long, order long, digest binary, folded binary, hit boolean"), "dedup-rows")
+    table = kept(rows.mapInArrow(_probed(digest_bytes, sent), "id long, order long, digest binary, folded binary, hit boolean"))
 
     alone = table.where("not hit").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     probed = table.where("hit").join(hits, "digest", "left")
@@ -124,7 +124,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     stays = stays.select("digest", F.col("folded").alias("kept_bytes"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
     members = found.withColumn("slice", F.pmod(F.xxhash64("id", "digest"), slices).cast("int"))
     checked = members.join(stays, ["digest", "slice"]).withColumn("same", F.col("folded") == F.col("kept_bytes"))
-    checked = written(checked.select("id", "order", "digest", "best", "same", F.when(~F.col("same"), F.col("folded")).alias("folded")), "dedup-checked")
+    checked = kept(checked.select("id", "order", "digest", "best", "same", F.when(~F.col("same"), F.col("folded")).alias("folded")))
     sizes = checked.where("same").groupBy("digest").agg(F.count("*").alias("group_size"))
     same = checked.where("same").join(sizes, "digest").select("id", (F.col("best") * sign).alias("keep_id"), "group_size", "digest")
     other = checked.where("not same")
@@ -163,7 +163,7 @@ def _probed(size: int, sent):
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``df`` that stay, with all its columns; of a repeated row, one."""
-    found = written(groups(df, id_col, text_col, keep).where("group_size > 1").select("id", "keep_id", "kept"), "dedup-groups")
+    found = kept(groups(df, id_col, text_col, keep).where("group_size > 1").select("id", "keep_id", "kept"))
     gone = found.where("id <> keep_id").select(F.col("id").alias("__gone")).distinct()
     left = df.join(bounded(gone), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
     repeats = found.where("id = keep_id and not kept").select(F.col("id").alias("__again")).distinct()

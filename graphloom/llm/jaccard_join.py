@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, id_text, lists, release, utf8, written
+from .common import bounded, chunks, id_text, kept, lists, release, utf8, written
 from .components import components
 from .shingles import lower_ascii, mix, shingles, words
 
@@ -447,14 +447,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     columns of ``df`` are not read.
     """
     rows = id_text(df, id_col, text_col)
-    points = written(rows.mapInArrow(_points(k, False), "id long, n long, d1 long, d2 long, vector binary"), "points")
+    points = kept(rows.mapInArrow(_points(k, False), "id long, n long, d1 long, d2 long, vector binary"))
     key = ["d1", "d2", "n"]
     sets = points.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.min("vector").alias("vector"))
     sets = written(sets.withColumn("uid", F.monotonically_increasing_id()), "sets")
     # One text of each set is read again and sends its signatures.
     asked = rows.join(bounded(sets.select("uid", "d1", "d2", F.col("rep").alias("id"))), "id")
     sent = asked.mapInArrow(_signed(k, num, den), "uid long, s long")
-    found = written(sent.repartition("s").sortWithinPartitions("s", "uid").mapInArrow(_member_lists, "list long, members array<long>"), "member-lists")
+    found = kept(sent.repartition("s").sortWithinPartitions("s", "uid").mapInArrow(_member_lists, "list long, members array<long>"))
     # Near copies share most of their signatures: the same list of members counts once.
     once = found.where("list is not null").groupBy("list").agg(F.first("members").alias("members"))
     rows_of = once.select("list", F.explode("members").alias("uid")).join(sets.select("uid", "n", "vector"), "uid")
@@ -464,7 +464,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     member = written(sets.join(clusters, sets.uid == clusters.node).select("uid", "rep", *key, F.col("root").alias("cluster")), "members")
     few = rows.join(bounded(member.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
     full = few.mapInArrow(_points(k, True), "id long, n long, d1 long, d2 long, hashes array<long>").withColumnRenamed("id", "rep")
-    near = written(full.join(member, ["rep", *key]).select("cluster", "uid", "n", "hashes"), "near-sets")
+    near = kept(full.join(member, ["rep", *key]).select("cluster", "uid", "n", "hashes"))
     linked = _linked(near, num, den, tile_shingles, tile_sets)
     rooted = linked.join(member.select("uid", "rep"), "uid")
     low = rooted.groupBy("root").agg(F.min("rep").alias("component"))
@@ -478,4 +478,4 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``df`` whose id is the smallest of their class, with all their columns."""
     found = classes(df, id_col, text_col, k, num, den)
     gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
-    return df.join(bounded(written(gone, "near-copies")), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    return df.join(bounded(kept(gone)), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, id_text, release, utf8, written
+from .common import chunks, id_text, kept, release, utf8, written
 
 #: Words that a task remembers the ids of.
 TABLE = 400_000
@@ -364,7 +364,7 @@ def places(sizes: DataFrame, size: int) -> DataFrame:
     items = sizes.select("row", "n", rest.alias("rest"), F.pmod(F.xxhash64("row"), F.lit(lanes)).alias("lane"), F.floor(F.col("n") / size).alias("whole"))
     earlier = Window.unboundedPreceding, -1
     counted = items.groupBy("rest", "lane").agg(F.count("*").alias("count"), F.sum("whole").alias("whole"))
-    counted = written(counted, "pack-lanes")
+    counted = kept(counted)
     by_rest = counted.select("rest", "lane", F.coalesce(F.sum("count").over(Window.partitionBy("rest").orderBy("lane").rowsBetween(*earlier)), F.lit(0)).alias("rank_base"))
     # Full windows: their number in the lanes before, and in the lengths before within a lane.
     lane_sums = counted.groupBy("lane").agg(F.sum("whole").alias("whole")).withColumn("all", F.lit(0))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, release, utf8, written
+from .common import bounded, chunks, kept, release, utf8
 
 ORDER = 5
 BITS = 12
@@ -94,10 +94,10 @@ def _suffix(order: int) -> Column:
 def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Model tables of the column ``text``: probabilities (n, key, p) of all n-grams seen, and weights
     of what is below (n, context, rest) of all contexts seen."""
-    tables = {ORDER: written(texts.select("text").mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "ngrams")}
+    tables = {ORDER: kept(texts.select("text").mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))}
     for order in range(ORDER - 1, 0, -1):
         # Continuation counts: in how many different ways an n-gram is preceded.
-        tables[order] = written(tables[order + 1].groupBy(_suffix(order + 1).alias("key")).agg(F.count("*").alias("n")), "ngrams")
+        tables[order] = kept(tables[order + 1].groupBy(_suffix(order + 1).alias("key")).agg(F.count("*").alias("n")))
     lower: DataFrame | None = None
     grams, contexts = [], []
     for order in range(1, ORDER + 1):
@@ -114,13 +114,13 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             t, below = t.join(lower, "below"), F.col("p_below")
         p = (F.col("n") - F.col("off")) / F.col("total") + F.col("taken") / F.col("total") * below
-        done = written(t.select("key", p.alias("p")), "probabilities")
+        done = kept(t.select("key", p.alias("p")))
         lower = done.select(F.col("key").alias("below"), F.col("p").alias("p_below"))
         grams.append(done.select(F.lit(order).alias("n"), "key", "p"))
     all_grams, all_contexts = grams[0], contexts[0]
     for g, c in zip(grams[1:], contexts[1:]):
         all_grams, all_contexts = all_grams.unionByName(g), all_contexts.unionByName(c)
-    return all_grams, written(all_contexts, "contexts")
+    return all_grams, kept(all_contexts)
 
 
 def discounts(many: list[int]) -> list[float]:
@@ -248,7 +248,7 @@ def _scored_in_blocks(rows: DataFrame, grams: DataFrame, contexts: DataFrame, sc
                 yield pa.record_batch({"block": pa.array(pairs[:, 0]), "key": pa.array(pairs[:, 1])})
 
     wanted = dealt.mapInArrow(distinct, "block long, key long").distinct()
-    known = resolved(written(wanted.select("key").distinct(), "wanted"), grams, contexts)
+    known = resolved(wanted.select("key").distinct(), grams, contexts)
     per_block = wanted.join(known, "key")
 
     def score(key, texts: pa.Table, table: pa.Table) -> pa.Table:
@@ -292,19 +292,19 @@ def classified(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     empty table gives no rows.
     """
     good = labels.groupBy(F.col("doc_id").cast("long").alias("good")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select("good")
-    good = bounded(written(good, "trusted"))
+    good = bounded(kept(good))
     fold = F.pmod(F.xxhash64("good", F.lit(29)), F.lit(4))
     ids = F.col(f"`{id_col}`").cast("long")
     text = F.col(f"`{text_col}`")
     trusted = df.where(text.isNotNull() & (F.trim(text) != "")).select(ids.alias("id"), text.alias("text")).join(good, F.col("id") == F.col("good")).where(fold > 0)
     grams, contexts = train(trusted)
-    found = written(scored(df, grams, contexts, id_col, text_col, most), "perplexities")
+    found = kept(scored(df, grams, contexts, id_col, text_col, most))
     langs = df.select(ids.alias("id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang")).groupBy("id").agg(F.min("lang").alias("lang"))
     sized = found.join(langs, "id").withColumn("bin", F.floor(F.log2(F.col("chars") + 1)).cast("int"))
     held = sized.join(good, F.col("id") == F.col("good")).where((fold == 0) & F.col("perplexity").isNotNull())
     cut = F.percentile_approx("perplexity", quantile, 10_000)
     # Languages times some twenty lengths.
-    cuts = written(held.cube("lang", "bin").agg(cut.alias("cut"), F.count("*").alias("n"), F.grouping_id().alias("level")), "quantiles")
+    cuts = kept(held.cube("lang", "bin").agg(cut.alias("cut"), F.count("*").alias("n"), F.grouping_id().alias("level")))
     fine = F.broadcast(cuts.where(f"level = 0 and n >= {LEAST_TEXTS}").select("lang", "bin", F.col("cut").alias("fine")))
     by_lang = F.broadcast(cuts.where("level = 1").select("lang", F.col("cut").alias("mid")))
     overall = cuts.where("level = 3").select(F.col("cut").alias("all")).first()
@@ -318,4 +318,4 @@ def filtered(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The rows of ``df`` that are kept, with all their columns.  Where rows with different texts
     share an id, all go if one is rejected."""
     gone = classified(df, labels, id_col, text_col, lang_col, **options).where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    return df.join(bounded(written(gone, "rejected")), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    return df.join(bounded(kept(gone)), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")

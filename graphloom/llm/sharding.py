@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import kept
 
 #: Items of small groups, whatever the input size.
 CRATES = 4096
@@ -57,9 +57,8 @@ def assign(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "
     ``df`` are not read.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = written(
+    rows = kept(
         df.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), tokens(text).cast("long").alias("tokens"), F.xxhash64(text).alias("group")),
-        "shard-rows",
     )
     vector = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     total = rows.agg(*vector).first()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import bounded, chunks, id_text, lists, release, utf8, written
+from .common import bounded, chunks, id_text, kept, lists, release, utf8, written
 from .shingles import mix, stream
 
 LEAST = 200
@@ -281,14 +281,14 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     if least < K:
         raise ValueError(f"least must be {K} or more")
     rows = id_text(df, id_col, text_col)
-    told = written(rows.mapInArrow(_anchors(least), "id long, digest binary, n_bytes long, anchors array<long>"), "suffix-anchors")
+    told = kept(rows.mapInArrow(_anchors(least), "id long, digest binary, n_bytes long, anchors array<long>"))
     texts = told.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("anchors").alias("anchors"))
     texts = written(texts.withColumn("uid", F.monotonically_increasing_id()), "suffix-texts")
     each = texts.select("uid", F.explode("anchors").alias("anchor"))
     counts = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > many).alias("is_many"))
     once = texts.select("uid", F.explode(F.array_distinct("anchors")).alias("anchor"))
     hot = once.join(counts, "anchor").groupBy("uid").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("is_many"), F.col("anchor"))).alias("many"))
-    wanted = written(hot.join(texts.select("uid", "rep", "digest"), "uid"), "suffix-wanted")
+    wanted = kept(hot.join(texts.select("uid", "rep", "digest"), "uid"))
     few = rows.join(bounded(wanted.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
     pieces = few.join(wanted, few.id == wanted.rep).where(F.sha2("text", 256) == F.lower(F.hex("digest"))).select("uid", "text", "anchors", "many")
     # Of rows that repeat an id and text each would send its runs: they are copies, so nothing changes.
@@ -337,15 +337,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def stripped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """As :func:`spans`, with kept: the remaining bytes where some but not all bytes go, else null
     (nothing goes if there are no spans)."""
-    told = written(spans(df, id_col, text_col, least), "suffix-spans")
+    told = kept(spans(df, id_col, text_col, least))
     part = F.size("spans").between(1, 1 << 30) & ~((F.size("spans") == 1) & (F.col("spans")[0]["lo"] == 0) & (F.col("spans")[0]["hi"] == F.col("n_bytes")))
     rest = told.where(~part).withColumn("kept", F.lit(None).cast("binary"))
     some = told.where(part)
     rows = id_text(df, id_col, text_col)
     few = rows.join(bounded(some.select("id").distinct()), "id", "left_semi")
     with_text = few.join(some, "id").where(F.sha2("text", 256) == F.lower(F.hex("digest")))
-    kept = with_text.mapInArrow(_kept, "id long, n_bytes long, spans array<struct<lo:long,hi:long>>, digest binary, kept binary")
-    return rest.select("id", "n_bytes", "spans", "digest", "kept").unionByName(kept)
+    cut = with_text.mapInArrow(_kept, "id long, n_bytes long, spans array<struct<lo:long,hi:long>>, digest binary, kept binary")
+    return rest.select("id", "n_bytes", "spans", "digest", "kept").unionByName(cut)
 
 
 @F.pandas_udf(StringType())
@@ -365,7 +365,7 @@ def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """``df`` with all its columns, its texts without the bytes of repeated passages; rows of which
     nothing but white space is left of what was a text go."""
     changed = spans(df, id_col, text_col, least).where(F.size("spans") > 0).groupBy(F.col("id").alias("__id"), "digest").agg(F.first("spans").alias("__spans"))
-    changed = written(changed.withColumn("__digest", F.lower(F.hex("digest"))).drop("digest"), "changed-texts")
+    changed = kept(changed.withColumn("__digest", F.lower(F.hex("digest"))).drop("digest"))
     ids = bounded(changed.select("__id").distinct())
     own = F.col(f"`{id_col}`").cast("long") == F.col("__id")
     same = df.join(ids, own, "left_anti")
