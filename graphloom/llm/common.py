@@ -97,6 +97,18 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+#: Stands for a null id inside an operator: after all others, and shown as null again.
+NO_ID = (1 << 63) - 1
+
+
+def known_ids(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("id", F.coalesce("id", F.lit(NO_ID)))
+
+
+def shown_ids(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in columns or ("id",)})
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the row offsets into them (null: empty)."""
     if column.null_count:

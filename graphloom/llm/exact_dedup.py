@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded, chunks, id_text, kept, release, utf8
+from .common import NO_ID, bounded, chunks, id_text, kept, release, utf8
 
 #: A-Z to a-z, all other bytes as they are.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -99,11 +99,12 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     the folded text, cut to ``digest_bytes``).
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, and all empty texts
-    are one group.  The row with the smallest (or largest) id stays.  Of rows that repeat the same id
+    are one group.  The row with the smallest (or largest) id stays (one with a null id only if there
+    is no other).  Of rows that repeat the same id
     and text exactly one is kept.  An empty table gives no rows; other columns of ``df`` are not read.
     """
     sign = {"smallest": 1, "largest": -1}[keep]
-    rows = id_text(df, id_col, text_col).withColumn("order", F.col("id") * sign)
+    rows = id_text(df, id_col, text_col).withColumn("order", F.coalesce(F.col("id") * sign, F.lit(NO_ID)))
     runs = rows.select("order", "text").mapInArrow(_memtables(digest_bytes, memtable_rows), "digest binary, best long, n long")
     index = runs.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))  # compaction
     hits = kept(index.where("n > 1"))
@@ -124,18 +125,20 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     stays = stays.select("digest", F.col("folded").alias("kept_bytes"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
     members = found.withColumn("slice", F.pmod(F.xxhash64("id", "digest"), slices).cast("int"))
     checked = members.join(stays, ["digest", "slice"]).withColumn("same", F.col("folded") == F.col("kept_bytes"))
-    checked = kept(checked.select("id", "order", "digest", "best", "same", F.when(~F.col("same"), F.col("folded")).alias("folded")))
-    sizes = checked.where("same").groupBy("digest").agg(F.count("*").alias("group_size"))
-    same = checked.where("same").join(sizes, "digest").select("id", (F.col("best") * sign).alias("keep_id"), "group_size", "digest")
+    checked = kept(checked.select("id", "order", "digest", "best", "n", "same", F.when(~F.col("same"), F.col("folded")).alias("folded")))
     other = checked.where("not same")
-    regrouped = other.groupBy("digest", "folded").agg(F.min("order").alias("best"), F.count("*").alias("group_size"))
-    differing = other.join(regrouped.withColumnRenamed("best", "own_best"), ["digest", "folded"]).select("id", (F.col("own_best") * sign).alias("keep_id"), "group_size", "digest")
+    # Groups without a row whose bytes differ (all but for a digest collision) have their size already.
+    differ = bounded(kept(other.groupBy("digest").agg(F.count("*").alias("differ"))))
+    same = checked.where("same").join(differ, "digest", "left").select("id", "order", "best", (F.col("n") - F.coalesce("differ", F.lit(0))).alias("group_size"), "digest")
+    regrouped = other.groupBy("digest", "folded").agg(F.min("order").alias("own_best"), F.count("*").alias("group_size"))
+    differing = other.join(regrouped, ["digest", "folded"]).select("id", "order", F.col("own_best").alias("best"), "group_size", "digest")
     copies = same.unionByName(differing)
     # Rows that repeat an id are told apart only among the rows that stay.
-    stay = copies.where("id = keep_id").withColumn("kept", F.row_number().over(Window.partitionBy("digest", "id").orderBy("group_size")) == 1)
-    gone = copies.where("id <> keep_id").withColumn("kept", F.lit(False))
-    out = alone.unionByName(stay).unionByName(gone)
-    return out.select("id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("digest"))
+    stay = copies.where('order = best').withColumn("kept", F.row_number().over(Window.partitionBy("digest", "best").orderBy("group_size")) == 1)
+    gone = copies.where('order <> best').withColumn("kept", F.lit(False))
+    keep_id = F.when(F.col("best") != NO_ID, F.col("best") * sign)
+    found = stay.unionByName(gone).select("id", keep_id.alias("keep_id"), "group_size", "kept", "digest")
+    return alone.unionByName(found).select("id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("digest"))
 
 
 def _probed(size: int, sent):
@@ -162,7 +165,7 @@ def _probed(size: int, sent):
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of ``df`` that stay, with all its columns; of a repeated row, one."""
+    """The rows of ``df`` that stay, with all its columns; of a repeated row, one.  Rows with a null id stay."""
     found = kept(groups(df, id_col, text_col, keep).where("group_size > 1").select("id", "keep_id", "kept"))
     gone = found.where("id <> keep_id").select(F.col("id").alias("__gone")).distinct()
     left = df.join(bounded(gone), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, id_text, kept, lists, release, utf8, written
+from .common import bounded, chunks, id_text, kept, known_ids, lists, release, shown_ids, utf8, written
 from .components import components
 from .shingles import lower_ascii, mix, shingles, words
 
@@ -443,10 +443,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
 
     A-Z are lower-cased; words are runs of bytes other than ASCII white space; a text of fewer than k
     words has its whole sequence as one shingle.  Null, empty and blank texts have no shingles and
-    link with nothing.  Rows that repeat an id are one document.  An empty table gives no rows; other
+    link with nothing.  Rows that repeat an id are one document; a null id comes after all others.  An empty table gives no rows; other
     columns of ``df`` are not read.
     """
-    rows = id_text(df, id_col, text_col)
+    rows = known_ids(id_text(df, id_col, text_col))
     points = kept(rows.mapInArrow(_points(k, False), "id long, n long, d1 long, d2 long, vector binary"))
     key = ["d1", "d2", "n"]
     sets = points.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.min("vector").alias("vector"))
@@ -471,11 +471,13 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     known = rooted.join(low, "root").select("uid", "component")
     by_set = sets.select("uid", "rep", *key).join(known, "uid", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     out = points.select("id", *key).join(by_set, key, "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    return shown_ids(out, "id", "component")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their class, with all their columns."""
+    """The rows of ``df`` whose id is the smallest of their class, with all their columns.  Rows with a
+    null id stay."""
     found = classes(df, id_col, text_col, k, num, den)
     gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
     return df.join(bounded(kept(gone)), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")

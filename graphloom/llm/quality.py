@@ -300,7 +300,8 @@ def classified(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     grams, contexts = train(trusted)
     found = kept(scored(df, grams, contexts, id_col, text_col, most))
     langs = df.select(ids.alias("id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang")).groupBy("id").agg(F.min("lang").alias("lang"))
-    sized = found.join(langs, "id").withColumn("bin", F.floor(F.log2(F.col("chars") + 1)).cast("int"))
+    # A null id has no language of its own.
+    sized = found.join(langs, "id", "left").withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("bin", F.floor(F.log2(F.col("chars") + 1)).cast("int"))
     held = sized.join(good, F.col("id") == F.col("good")).where((fold == 0) & F.col("perplexity").isNotNull())
     cut = F.percentile_approx("perplexity", quantile, 10_000)
     # Languages times some twenty lengths.

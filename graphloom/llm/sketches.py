@@ -67,7 +67,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of ``df``: id and hashes (ascending array; as signed 64-bit numbers).
 
     Words are runs of bytes other than ASCII white space.  A text of fewer than k words is one shingle;
-    null, empty and blank texts have no hashes.  Texts of any length are used whole; repeated rows
+    null, empty and blank texts have no hashes (but an id).  Texts of any length are used whole; repeated rows
     repeat.  An empty table gives no rows; other columns of ``df`` are not read.
     """
 

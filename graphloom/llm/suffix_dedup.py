@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import bounded, chunks, id_text, kept, lists, release, utf8, written
+from .common import bounded, chunks, id_text, kept, known_ids, lists, release, shown_ids, utf8, written
 from .shingles import mix, stream
 
 LEAST = 200
@@ -280,7 +280,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """
     if least < K:
         raise ValueError(f"least must be {K} or more")
-    rows = id_text(df, id_col, text_col)
+    rows = known_ids(id_text(df, id_col, text_col))
     told = kept(rows.mapInArrow(_anchors(least), "id long, digest binary, n_bytes long, anchors array<long>"))
     texts = told.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("anchors").alias("anchors"))
     texts = written(texts.withColumn("uid", F.monotonically_increasing_id()), "suffix-texts")
@@ -301,7 +301,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     marked = by_text.join(copied, "digest", "full")
     out = told.select("id", "n_bytes", "digest").join(marked, "digest", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
-    return out.select("id", "n_bytes", "digest", F.when(F.col("copied"), whole).otherwise(F.coalesce("spans", F.expr("cast(array() as array<struct<lo:long,hi:long>>)"))).alias("spans"))
+    return shown_ids(out).select("id", "n_bytes", "digest", F.when(F.col("copied"), whole).otherwise(F.coalesce("spans", F.expr("cast(array() as array<struct<lo:long,hi:long>>)"))).alias("spans"))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,15 +337,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def stripped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """As :func:`spans`, with kept: the remaining bytes where some but not all bytes go, else null
     (nothing goes if there are no spans)."""
-    told = kept(spans(df, id_col, text_col, least))
+    told = kept(known_ids(spans(df, id_col, text_col, least)))
     part = F.size("spans").between(1, 1 << 30) & ~((F.size("spans") == 1) & (F.col("spans")[0]["lo"] == 0) & (F.col("spans")[0]["hi"] == F.col("n_bytes")))
     rest = told.where(~part).withColumn("kept", F.lit(None).cast("binary"))
     some = told.where(part)
-    rows = id_text(df, id_col, text_col)
+    rows = known_ids(id_text(df, id_col, text_col))
     few = rows.join(bounded(some.select("id").distinct()), "id", "left_semi")
     with_text = few.join(some, "id").where(F.sha2("text", 256) == F.lower(F.hex("digest")))
     cut = with_text.mapInArrow(_kept, "id long, n_bytes long, spans array<struct<lo:long,hi:long>>, digest binary, kept binary")
-    return rest.select("id", "n_bytes", "spans", "digest", "kept").unionByName(cut)
+    return shown_ids(rest.select("id", "n_bytes", "spans", "digest", "kept").unionByName(cut))
 
 
 @F.pandas_udf(StringType())
@@ -362,8 +362,7 @@ def _text_left(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """``df`` with all its columns, its texts without the bytes of repeated passages; rows of which
-    nothing but white space is left of what was a text go."""
+    """``df`` with all its columns, its texts without the bytes of repeated passages; rows """
     changed = spans(df, id_col, text_col, least).where(F.size("spans") > 0).groupBy(F.col("id").alias("__id"), "digest").agg(F.first("spans").alias("__spans"))
     changed = kept(changed.withColumn("__digest", F.lower(F.hex("digest"))).drop("digest"))
     ids = bounded(changed.select("__id").distinct())
