@@ -362,7 +362,8 @@ def _text_left(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """``df`` with all its columns, its texts without the bytes of repeated passages; rows """
+    """``df`` with all its columns, its texts without the bytes of repeated passages.  Rows with nothing
+    but white space left go; rows with a null id stay as they are."""
     changed = spans(df, id_col, text_col, least).where(F.size("spans") > 0).groupBy(F.col("id").alias("__id"), "digest").agg(F.first("spans").alias("__spans"))
     changed = kept(changed.withColumn("__digest", F.lower(F.hex("digest"))).drop("digest"))
     ids = bounded(changed.select("__id").distinct())
