@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import GraphDir, PropertyGraph, StoredDir
-from ..plans.storage import written
+from ..plans.storage import partitioned, written
 
 
 @dataclass(frozen=True)
@@ -92,9 +92,10 @@ def analyze(edges: DataFrame, weights: DataFrame, iterations: int, reset_left: f
     used = edges.select("left", "right").join(start.select(F.col("id").alias("left")), "left", "left_semi")
     l_deg = used.groupBy("left").agg(F.count("*").alias("dl"))
     r_deg = used.groupBy("right").agg(F.count("*").alias("dr"))
-    links = written(used.join(l_deg, "left").join(r_deg, "right"), "flows")
+    flows = written(used.join(l_deg, "left").join(r_deg, "right"), "flows")
+    by_left, by_right = partitioned(flows, "left"), partitioned(flows, "right")
     left = start.select("id", F.col("initial").alias("weight"))
-    right = links.select(F.col("right").alias("id")).distinct().withColumn("weight", F.lit(0.0))
+    right = flows.select(F.col("right").alias("id")).distinct().withColumn("weight", F.lit(0.0))
     none = F.expr("cast(array() as array<bigint>)")
     left_by = start.select("id", none.alias("contributors"))
     right_by = right.select("id", none.alias("contributors"))
@@ -107,13 +108,13 @@ def analyze(edges: DataFrame, weights: DataFrame, iterations: int, reset_left: f
     for k in range(1, iterations + 1):
         last = k > iterations - 2
         if k % 2:
-            flow = links.join(left.select(F.col("id").alias("left"), "weight"), "left").select(F.col("left").alias("src"), F.col("right").alias("to"), (F.col("weight") / F.col("dl")).alias("part"))
+            flow = by_left.join(left.select(F.col("id").alias("left"), "weight"), "left").select(F.col("left").alias("src"), F.col("right").alias("to"), (F.col("weight") / F.col("dl")).alias("part"))
             got = flow.groupBy(F.col("to").alias("id")).agg(F.sum("part").alias("got"))
             right = written(right.select("id").join(got, "id", "left").select("id", (F.coalesce("got", F.lit(0.0)) * (1 - reset_right)).alias("weight")), "right")
             if last:
                 right_by = written(contributors(flow), "right-contributors")
         else:
-            flow = links.join(right.select(F.col("id").alias("right"), "weight"), "right").select(F.col("right").alias("src"), F.col("left").alias("to"), (F.col("weight") / F.col("dr")).alias("part"))
+            flow = by_right.join(right.select(F.col("id").alias("right"), "weight"), "right").select(F.col("right").alias("src"), F.col("left").alias("to"), (F.col("weight") / F.col("dr")).alias("part"))
             got = flow.groupBy(F.col("to").alias("id")).agg(F.sum("part").alias("got"))
             value = F.lit(reset_left) * F.col("initial") + F.coalesce("got", F.lit(0.0)) * (1 - reset_left)
             left = written(start.join(got, "id", "left").select("id", value.alias("weight")), "left")

@@ -2,8 +2,8 @@
 
 Both have two physical forms with the same result.  On graphs counted to have few edges, all iterations
 run in one task over sorted arrays: there, the cost of starting jobs is what counts.  Otherwise each
-iteration is a join of ranks with edges and a sum by target, over edges written once in hash partitions
-of their source.
+iteration is a join of ranks with edges and a sum by target; edges are kept in hash partitions of the
+join key, so only ranks and messages are shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..graph import PropertyGraph
 from ..plans.iterate import Iteration, State
-from ..plans.storage import written
+from ..plans.storage import partitioned, written
 
 #: Edges of a graph that is iterated in one task, at most (16 bytes each, a few times over).
 KERNEL_EDGES = 4_000_000
@@ -123,14 +123,17 @@ def pagerank(graph: PropertyGraph, damping: float = 0.85, max_iterations: int |
         out = written(_kernel_input(vertices, edges).mapInPandas(_pagerank_kernel(damping, max_iterations, tolerance), "id bigint, rank double, error double, iteration int"), "ranks")
         row = out.select("error", "iteration").first()
         return Ranked(out.select("id", "rank"), row.error if row else 0.0, row.iteration if row else 0)
-    state = _PageRank(vertices, written(edges.repartition("src"), "edges-by-source"), damping, max_iterations, tolerance).run(init)
+    by_source = partitioned(edges, "src")
+    state = _PageRank(vertices, by_source, damping, max_iterations, tolerance).run(init)
+    by_source.unpersist()
     return Ranked(state.table.select("id", "rank"), state.error, state.iteration)
 
 
 class _Hits(Iteration):
-    def __init__(self, vertices: DataFrame, edges: DataFrame, max_iterations: int | None, tolerance: float, normalize: bool):
+    def __init__(self, vertices: DataFrame, by_source: DataFrame, by_target: DataFrame, max_iterations: int | None, tolerance: float, normalize: bool):
         super().__init__(max_iterations, tolerance)
-        self.vertices, self.edges, self.normalize = written(vertices, "nodes"), edges, normalize
+        self.vertices, self.normalize = written(vertices, "nodes"), normalize
+        self.by_source, self.by_target = by_source, by_target
         self.n = self.vertices.count()
 
     def initial(self) -> DataFrame:
@@ -138,8 +141,8 @@ class _Hits(Iteration):
 
     def step(self, table: DataFrame) -> DataFrame:
         hubs = table.select(F.col("id").alias("src"), "hub")
-        auth = written(self.edges.join(hubs, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a")), "authorities")
-        hub = self.edges.join(auth.select(F.col("id").alias("dst"), "a"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("h"))
+        auth = written(self.by_source.join(hubs, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("hub").alias("a")), "authorities")
+        hub = self.by_target.join(auth.select(F.col("id").alias("dst"), "a"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("a").alias("h"))
         raw = written(table.select("id", F.col("hub").alias("before")).join(auth, "id", "left").join(hub, "id", "left"), "scores")
         top = raw.agg(F.max("a").alias("a"), F.max("h").alias("h")).first()
 
@@ -191,8 +194,10 @@ def hits(graph: PropertyGraph, max_iterations: int | None = 100, tolerance: floa
         out = written(_kernel_input(vertices, edges).mapInPandas(_hits_kernel(max_iterations, tolerance, normalize), "id bigint, hub double, authority double, error double, iteration int"), "hits")
         row = out.select("error", "iteration").first()
         return Ranked(out.select("id", "hub", "authority"), row.error if row else 0.0, row.iteration if row else 0)
-    run = _Hits(vertices, written(edges.repartition("src"), "edges-by-source"), max_iterations, tolerance, normalize)
+    run = _Hits(vertices, partitioned(edges, "src"), partitioned(edges, "dst"), max_iterations, tolerance, normalize)
     if init is not None:
         init = run.vertices.join(init, "id", "left").select("id", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority"), F.lit(0.0).alias("before"))
     state = run.run(init)
+    run.by_source.unpersist()
+    run.by_target.unpersist()
     return Ranked(state.table.select("id", "hub", "authority"), state.error, state.iteration)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import GraphDir, PropertyGraph
-from ..plans.storage import drop_written, written
+from ..plans.storage import partitioned, written
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ def breadth_first(graph: PropertyGraph, homes: Sequence[int], direction: GraphDi
     Homes that are not in the graph are passed over; neighbours repeated in a list count once.  ``hook``
     may change each level's rows (a custom choice of what to enqueue).
     """
-    links = written(graph.links(direction), "bfs-links")
+    links = partitioned(graph.links(direction), "id")
     level = written(_homes(graph, homes), "bfs-level")
     if limits.max_steps is not None:
         level = written(level.orderBy("path").limit(limits.max_steps), "bfs-level")
@@ -72,7 +72,7 @@ def breadth_first(graph: PropertyGraph, homes: Sequence[int], direction: GraphDi
         seen = seen.unionByName(level)
         enqueued += found
         depth += 1
-    drop_written(links)
+    links.unpersist()
     return seen
 
 
@@ -87,7 +87,7 @@ def all_paths(graph: PropertyGraph, homes: Sequence[int], direction: GraphDir =
     depth limit goes by the depth at which it was first seen.  Needs max_depth or max_steps."""
     if limits.max_depth is None and limits.max_steps is None:
         raise ValueError("an all-paths walk needs a limit")
-    links = graph.links(direction)
+    links = partitioned(graph.links(direction), "id")
     level = written(_homes(graph, homes), "paths-level")
     visits, total, hops = level, level.count(), 0
     first = level.select("id", F.col("depth").alias("first_depth"))
@@ -106,6 +106,7 @@ def all_paths(graph: PropertyGraph, homes: Sequence[int], direction: GraphDir =
         visits, total, hops = visits.unionByName(level), total + found, hops + 1
         new = level.select("id", F.col("depth").alias("first_depth")).distinct().join(first, "id", "left_anti")
         first = written(first.unionByName(new), "paths-first")
+    links.unpersist()
     return visits
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import counters
 from ..graph import GraphDir, PropertyGraph
-from ..plans.storage import written
+from ..plans.storage import partitioned, written
 
 #: Links (16 bytes each) of a graph that is broadcast, at most.
 BROADCAST_LINKS = 2_000_000
@@ -146,13 +146,14 @@ def expected_reputation(graph: PropertyGraph, home: int, reset: float, max_depth
     """
     links = graph.links(direction).select("id", "nbr")
     degrees = links.groupBy("id").agg(F.count("*").alias("degree"))
-    out = written(links.join(degrees, "id"), "weighted-links")
+    out = partitioned(links.join(degrees, "id"), "id")
     level = graph.vertices.where(F.col("id") == home).select("id", F.lit(1.0).alias("x"))
     levels = level
     for _ in range(max_depth - 1):
         level = level.join(out, "id").groupBy(F.col("nbr").alias("id")).agg((F.sum(F.col("x") / F.col("degree")) * (1 - reset)).alias("x"))
         level = written(level, "level")
         levels = levels.unionByName(level)
+    out.unpersist()
     sums = levels.groupBy("id").agg(F.sum("x").alias("x"))
     total = sums.agg(F.sum("x").alias("total"))
     return sums.crossJoin(F.broadcast(total)).select("id", (F.col("x") / F.col("total")).alias("share"))  # one row

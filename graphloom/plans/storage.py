@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
@@ -48,6 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def partitioned(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in hash partitions of ``keys``, kept on the executors' disks.  Joins on these keys need not
+    shuffle it again, as they would if it were read back from files.  What a lost executor held is made
+    again.  The number of partitions is fixed, so that adaptive execution leaves it alone."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).persist(StorageLevel.DISK_ONLY)
+
+
 def drop_written(*tables: DataFrame | None) -> None:
     """Delete tables of :func:`written` that no later plan reads."""
     for df in tables:
