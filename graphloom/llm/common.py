@@ -65,7 +65,8 @@ def kept(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept on the executors' disks for the plans that read it.
 
     For tables that come out the same when they are made again: what a lost executor held is then
-    recomputed.  Tables with ids that Spark gives out, and loops, need :func:`written`.
+    recomputed.  Tables with ids that Spark gives out, and loops, need :func:`written`; so do tables that are
+    made from a kept one, as plans that hold each other grow large.
     """
     return df.persist(StorageLevel.DISK_ONLY)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NO_ID, bounded, chunks, id_text, kept, release, utf8
+from .common import NO_ID, bounded, chunks, id_text, kept, release, utf8, written
 
 #: A-Z to a-z, all other bytes as they are.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -107,7 +107,7 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     rows = id_text(df, id_col, text_col).withColumn("order", F.coalesce(F.col("id") * sign, F.lit(NO_ID)))
     runs = rows.select("order", "text").mapInArrow(_memtables(digest_bytes, memtable_rows), "digest binary, best long, n long")
     index = runs.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))  # compaction
-    hits = kept(index.where("n > 1"))
+    hits = written(index.where("n > 1"), "dedup-hits")
     seen = np.frombuffer(_filter(hits), np.uint32)
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(seen)
@@ -125,10 +125,10 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     stays = stays.select("digest", F.col("folded").alias("kept_bytes"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
     members = found.withColumn("slice", F.pmod(F.xxhash64("id", "digest"), slices).cast("int"))
     checked = members.join(stays, ["digest", "slice"]).withColumn("same", F.col("folded") == F.col("kept_bytes"))
-    checked = kept(checked.select("id", "order", "digest", "best", "n", "same", F.when(~F.col("same"), F.col("folded")).alias("folded")))
+    checked = written(checked.select("id", "order", "digest", "best", "n", "same", F.when(~F.col("same"), F.col("folded")).alias("folded")), "dedup-checked")
     other = checked.where("not same")
     # Groups without a row whose bytes differ (all but for a digest collision) have their size already.
-    differ = bounded(kept(other.groupBy("digest").agg(F.count("*").alias("differ"))))
+    differ = bounded(other.groupBy("digest").agg(F.count("*").alias("differ")))
     same = checked.where("same").join(differ, "digest", "left").select("id", "order", "best", (F.col("n") - F.coalesce("differ", F.lit(0))).alias("group_size"), "digest")
     regrouped = other.groupBy("digest", "folded").agg(F.min("order").alias("own_best"), F.count("*").alias("group_size"))
     differing = other.join(regrouped, ["digest", "folded"]).select("id", "order", F.col("own_best").alias("best"), "group_size", "digest")
@@ -166,7 +166,7 @@ def _probed(size: int, sent):
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``df`` that stay, with all its columns; of a repeated row, one.  Rows with a null id stay."""
-    found = kept(groups(df, id_col, text_col, keep).where("group_size > 1").select("id", "keep_id", "kept"))
+    found = written(groups(df, id_col, text_col, keep).where("group_size > 1").select("id", "keep_id", "kept"), "dedup-groups")
     gone = found.where("id <> keep_id").select(F.col("id").alias("__gone")).distinct()
     left = df.join(bounded(gone), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
     repeats = found.where("id = keep_id and not kept").select(F.col("id").alias("__again")).distinct()

@@ -202,11 +202,8 @@ def intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 def _repeats(least: int):
     """Repeated ranges of windows: uid, lo, hi (windows), and maximal: whether a maximal repeat starts in it."""
 
-    def solve(rows: list[tuple]) -> Iterator[tuple[int, int, int, bool]]:
-        by: dict[bytes, list[tuple]] = {}
-        for x in rows:
-            by.setdefault(x[4][1:] if x[5] else x[4], []).append(x)
-        texts = list(by)
+    def solve(rows: list[list]) -> Iterator[tuple[int, int, int, bool]]:
+        texts = [x[4][1:] if x[5] else x[4] for x in rows]
         joined = np.frombuffer(b"".join(texts), np.uint8)
         base = np.cumsum([0, *map(len, texts)])
         counts = np.array([len(t) - least + 1 for t in texts])
@@ -214,12 +211,11 @@ def _repeats(least: int):
         inner = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
         at = base[which] + inner
         order, lcp = enhanced_suffix_array(joined, at, least)
-        # The left neighbour of each suffix; 256 where it begins a text, 257 where its occurrences differ.
+        # The left neighbour of each suffix; 256 where it begins a text, 257 where its occurrences may differ.
         left = np.where(inner > 0, joined[np.maximum(at - 1, 0)], 257).astype(np.int64)
         first = np.cumsum(counts) - counts
-        for t, x in enumerate(by.values()):
-            leads = {y[4][0] if y[5] else 256 for y in x}
-            left[first[t]] = leads.pop() if len(leads) == 1 else 257
+        for t, x in enumerate(rows):
+            left[first[t]] = 257 if x[6] else x[4][0] if x[5] else 256
         slot = np.searchsorted(at, order)
         repeated = np.zeros(len(at), bool)
         maximal = np.zeros(len(at), bool)
@@ -228,23 +224,21 @@ def _repeats(least: int):
             repeated[s] = True
             near = left[s]
             maximal[s] = (near != near[0]).any() or near[0] >= 256
-        for t, x in enumerate(by.values()):
+        for t, x in enumerate(rows):
             a, b = int(first[t]), int(first[t] + counts[t])
-            if len(x) > 1 or any(y[6] for y in x):
-                spans = [(0, b - a, True)]
-            else:
-                hit = np.flatnonzero(np.diff(np.concatenate([[0], repeated[a:b].astype(np.int8), [0]])))
-                spans = [(p, q, bool(maximal[a + p : a + q].any())) for p, q in hit.reshape(-1, 2).tolist()]
-            for y in x:
-                for p, q, m in spans:
-                    yield y[1], y[2] + p, y[2] + q, m
+            if x[6]:
+                yield x[1], x[2], x[2] + b - a, True
+                continue
+            hit = np.flatnonzero(np.diff(np.concatenate([[0], repeated[a:b].astype(np.int8), [0]])))
+            for p, q in hit.reshape(-1, 2).tolist():
+                yield x[1], x[2] + p, x[2] + q, bool(maximal[a + p : a + q].any())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(found: list[tuple[int, int, int, bool]]) -> pa.RecordBatch:
             u, lo, hi, m = zip(*found)
             return pa.record_batch({"uid": pa.array(u, pa.int64()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64()), "maximal": pa.array(m, pa.bool_())})
 
-        held: list[tuple] = []
+        held: dict[bytes, list] = {}
         size, key = 0, None
         for b in batches:
             found: list[tuple[int, int, int, bool]] = []
@@ -254,16 +248,21 @@ def _repeats(least: int):
                     found.append((x[1], x[2], x[2] + x[3], True))
                     continue
                 if x[0] != key and size >= SORTED:
-                    found += solve(held)
-                    held, size = [], 0
+                    found += solve(list(held.values()))
+                    held, size = {}, 0
                 key = x[0]
-                held.append(x)
-                size += len(x[4])
+                own = x[4][1:] if x[5] else x[4]
+                if own in held:  # a repeat as it is: only different bytes of a key are held
+                    held[own][6] = True
+                    found.append((x[1], x[2], x[2] + x[3], True))
+                else:
+                    held[own] = list(x)
+                    size += len(own)
             if found:
                 yield told(found)
-        if held and (found := list(solve(held))):
+        if held and (found := list(solve(list(held.values())))):
             yield told(found)
-        held = []
+        held = {}
         release()
 
     return run
@@ -288,7 +287,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     counts = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > many).alias("is_many"))
     once = texts.select("uid", F.explode(F.array_distinct("anchors")).alias("anchor"))
     hot = once.join(counts, "anchor").groupBy("uid").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("is_many"), F.col("anchor"))).alias("many"))
-    wanted = kept(hot.join(texts.select("uid", "rep", "digest"), "uid"))
+    wanted = written(hot.join(texts.select("uid", "rep", "digest"), "uid"), "suffix-wanted")
     few = rows.join(bounded(wanted.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
     pieces = few.join(wanted, few.id == wanted.rep).where(F.sha2("text", 256) == F.lower(F.hex("digest"))).select("uid", "text", "anchors", "many")
     # Of rows that repeat an id and text each would send its runs: they are copies, so nothing changes.
@@ -337,7 +336,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def stripped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """As :func:`spans`, with kept: the remaining bytes where some but not all bytes go, else null
     (nothing goes if there are no spans)."""
-    told = kept(known_ids(spans(df, id_col, text_col, least)))
+    told = written(known_ids(spans(df, id_col, text_col, least)), "suffix-spans")
     part = F.size("spans").between(1, 1 << 30) & ~((F.size("spans") == 1) & (F.col("spans")[0]["lo"] == 0) & (F.col("spans")[0]["hi"] == F.col("n_bytes")))
     rest = told.where(~part).withColumn("kept", F.lit(None).cast("binary"))
     some = told.where(part)
@@ -365,7 +364,7 @@ def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     """``df`` with all its columns, its texts without the bytes of repeated passages.  Rows with nothing
     but white space left go; rows with a null id stay as they are."""
     changed = spans(df, id_col, text_col, least).where(F.size("spans") > 0).groupBy(F.col("id").alias("__id"), "digest").agg(F.first("spans").alias("__spans"))
-    changed = kept(changed.withColumn("__digest", F.lower(F.hex("digest"))).drop("digest"))
+    changed = written(changed.withColumn("__digest", F.lower(F.hex("digest"))).drop("digest"), "changed-texts")
     ids = bounded(changed.select("__id").distinct())
     own = F.col(f"`{id_col}`").cast("long") == F.col("__id")
     same = df.join(ids, own, "left_anti")
