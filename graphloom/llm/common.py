@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,50 +12,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+from ..plans.storage import drop_written, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in tests on one machine, a temporary
-    folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("graphloom.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("graphloom.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table by Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean_up() -> None:
-    for spark, path in _written:
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended; the folder goes with the cluster's
-            return
-
-
-atexit.register(_clean_up)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: this cuts lineage and
-    survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._graphloom_path = path  # noqa: SLF001
-    return out
+__all__ = ["BROADCAST_ROWS", "NO_ID", "bounded", "chunks", "documents", "drop_written", "id_text", "kept", "known_ids", "lists", "release", "shown_ids", "utf8", "written"]
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -71,14 +27,6 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table of :func:`written` that no later plan reads."""
-    path = getattr(df, "_graphloom_path", None)
-    if path:
-        remove(df.sparkSession, path)
-        _written[:] = [x for x in _written if x[1] != path]
-
-
 #: Rows of a few numbers that may be broadcast (some tens of MB); larger sides are shuffled.
 BROADCAST_ROWS = 500_000
 
