@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import drop_written, written
 
-__all__ = ["BROADCAST_ROWS", "NO_ID", "bounded", "chunks", "documents", "drop_written", "id_text", "kept", "known_ids", "lists", "release", "shown_ids", "utf8", "written"]
+__all__ = ["BROADCAST_ROWS", "NO_ID", "bounded", "chunks", "documents", "drop_written", "id_text", "kept", "known_ids", "lists", "release", "shown_ids", "small_batches", "utf8", "written"]
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -41,8 +41,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of an Arrow batch: texts can be long, so a number of rows would not bound a worker's memory.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """From now on the session sends batches of at most BATCH_BYTES to Python workers."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(key, "-1")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the id and the text (null: empty), whatever else ``df`` carries."""
+    small_batches(df)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 

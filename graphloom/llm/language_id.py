@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, id_text, utf8
+from .common import chunks, id_text, small_batches, utf8
 from .shingles import mix
 
 UNKNOWN = "und"
@@ -168,6 +168,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     least hash of their id), so what comes to the driver is bounded.  Without any such row the model
     knows no language.
     """
+    small_batches(df)
     rows = df.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull())
     rows = rows.select(F.xxhash64(F.col(f"`{id_col}`"), F.lit(3)).alias("rank"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, kept, release, utf8, written
+from .common import bounded, chunks, kept, release, small_batches, utf8, written
 
 ORDER = 5
 BITS = 12
@@ -291,6 +291,7 @@ def classified(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     texts are rejected; without trusted texts all others are kept.  Repeated rows get equal results; an
     empty table gives no rows.
     """
+    small_batches(df)
     good = labels.groupBy(F.col("doc_id").cast("long").alias("good")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select("good")
     good = bounded(written(good, "trusted"))
     fold = F.pmod(F.xxhash64("good", F.lit(29)), F.lit(4))
