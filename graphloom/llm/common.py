@@ -47,9 +47,7 @@ BATCH_BYTES = 4 << 20
 
 def small_batches(df: DataFrame) -> None:
     """From now on the session sends batches of at most BATCH_BYTES to Python workers."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(key, "-1")) <= BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
