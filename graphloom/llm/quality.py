@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, chunks, kept, release, small_batches, utf8, written
@@ -36,8 +36,10 @@ BLOCK_ROWS = 5000
 QUANTILE = 0.995
 #: A held-out text may be above its quantile by this part.
 SLACK = 1.08
-#: Held-out texts of a language and length that a quantile is taken from, at least; else the language's.
+#: Held-out texts that a quantile is taken from, at least: of a language and length, and of the lengths nearest to it.
 LEAST_TEXTS = 60
+#: A text has fewer than 2 ** 31 characters.
+LONGEST_BIN = 31
 START, END = 2, 3
 
 
@@ -281,13 +283,37 @@ def resolved(wanted: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFr
     return at.select("key", F.when(F.col("found"), F.col("log_p")).otherwise(F.col("log_p") + float(np.log(FLOOR))).alias("log_p"))
 
 
+def quantiles(held: DataFrame, quantile: float) -> DataFrame:
+    """own, lang, bin, cut: the quantile of ``held`` (lang, bin, perplexity) for each language and each
+    length there can be, and (not ``own``) for each length over all languages.
+
+    Where a bin has fewer than LEAST_TEXTS texts, those of the nearest bins (the longer one first) are taken
+    with it until there are as many, or no more of the language.
+    """
+    both = held.withColumn("own", F.lit(True)).unionByName(held.withColumns({"own": F.lit(False), "lang": F.lit("")}))
+    by = ["own", "lang"]
+    # Languages times some twenty lengths.
+    counts = written(both.groupBy(*by, "bin").agg(F.count("*").alias("n")), "held-out-counts")
+    targets = counts.select(*by).distinct().withColumn("target", F.explode(F.sequence(F.lit(0), F.lit(LONGEST_BIN))))
+    far = 2 * F.abs(F.col("bin") - F.col("target")) - (F.col("bin") > F.col("target")).cast("int")
+    before = F.sum("n").over(Window.partitionBy(*by, "target").orderBy(far).rowsBetween(Window.unboundedPreceding, -1))
+    near = counts.join(targets, by).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < LEAST_TEXTS)
+    pools = written(near.groupBy(*by, "target").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")), "pools")
+    # Many lengths have the same bins about them: each such range is aggregated once.
+    ranges = F.broadcast(pools.select(*by, "lo", "hi").distinct())
+    cut = F.percentile_approx("perplexity", quantile, 10_000)
+    cuts = both.join(ranges, by).where(F.col("bin").between(F.col("lo"), F.col("hi"))).groupBy(*by, "lo", "hi").agg(cut.alias("cut"))
+    return written(pools.join(cuts, [*by, "lo", "hi"]).select(*by, F.col("target").alias("bin"), "cut"), "quantiles")
+
+
 def classified(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, most: int = BROADCAST_ENTRIES) -> DataFrame:
     """One row per row of ``df``: id, lang, perplexity, threshold and kept.
 
     Trusted are the texts whose id is in ``labels`` (doc_id, quality, toxic) with quality 1 and not
     toxic in all rows there are for it.  Three quarters of them (by a hash of the id) are counted, all
-    of each; the rest give the quantiles of each language and length (in powers of two), or of the
-    language, or of all, where there are too few.  A null language is one of its own.  Null and blank
+    of each; the rest give the quantiles of each language and length (in powers of two), with the lengths
+    nearest to it where there are too few.  A language without such texts has the quantiles of all
+    languages about its texts' lengths.  A null language is one of its own.  Null and blank
     texts are rejected; without trusted texts all others are kept.  Repeated rows get equal results; an
     empty table gives no rows.
     """
@@ -304,14 +330,11 @@ def classified(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # A null id has no language of its own.
     sized = found.join(langs, "id", "left").withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("bin", F.floor(F.log2(F.col("chars") + 1)).cast("int"))
     held = sized.join(good, F.col("id") == F.col("good")).where((fold == 0) & F.col("perplexity").isNotNull())
-    cut = F.percentile_approx("perplexity", quantile, 10_000)
-    # Languages times some twenty lengths.
-    cuts = written(held.cube("lang", "bin").agg(cut.alias("cut"), F.count("*").alias("n"), F.grouping_id().alias("level")), "quantiles")
-    fine = F.broadcast(cuts.where(f"level = 0 and n >= {LEAST_TEXTS}").select("lang", "bin", F.col("cut").alias("fine")))
-    by_lang = F.broadcast(cuts.where("level = 1").select("lang", F.col("cut").alias("mid")))
-    overall = cuts.where("level = 3").select(F.col("cut").alias("all")).first()
-    out = sized.join(fine, ["lang", "bin"], "left").join(by_lang, "lang", "left")
-    threshold = F.coalesce("fine", "mid", F.lit(overall["all"] if overall else None).cast("double")) * slack
+    cuts = quantiles(written(held.select("lang", "bin", "perplexity"), "held-out"), quantile)
+    fine = F.broadcast(cuts.where("own").select("lang", "bin", F.col("cut").alias("fine")))
+    overall = F.broadcast(cuts.where("not own").select("bin", F.col("cut").alias("all")))
+    out = sized.join(fine, ["lang", "bin"], "left").join(overall, "bin", "left")
+    threshold = F.coalesce("fine", "all") * slack
     out = out.withColumn("threshold", threshold)
     return out.select("id", "lang", "perplexity", "threshold", (F.col("perplexity").isNotNull() & ((F.col("perplexity") <= F.col("threshold")) | F.col("threshold").isNull())).alias("kept"))
 

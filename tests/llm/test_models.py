@@ -126,3 +126,24 @@ def test_classified(spark):
     none = quality.classified(docs, labels.where("quality = 7")).collect()
     assert len(none) == len(rows + junk + odd) and sum(x.kept for x in none) == len(rows + junk + odd) - 2
     assert quality.classified(documents(spark, []), labels).count() == 0
+
+
+def test_short_texts_do_not_set_the_threshold_of_long_ones(spark):
+    r = random.Random(5)
+    # No length has LEAST_TEXTS held-out texts, and the short trusted ones are odd.
+    rows = [(i, prose(r, "en", n), "en") for i, n in enumerate([30, 70, 150] * 120)]
+    short = [(1000 + i, "".join(chr(r.randrange(256, 4000)) for _ in range(5)), "en") for i in range(24)]
+    junk = [(2000 + i, prose(r, "fr", 70), "en") for i in range(20)]
+    other = [(3000, prose(r, "en", 70), "xx"), (3001, prose(r, "fr", 70), "xx")]
+    labels = spark.createDataFrame([(x[0], 1, 0) for x in rows + short], "doc_id long, quality int, toxic int")
+    got = {x.id: x for x in quality.classified(documents(spark, rows + short + junk + other), labels).collect()}
+    assert sum(got[i].kept for i, *_ in rows) >= 350 and not any(got[i].kept for i, *_ in junk)
+    assert got[3000].kept and not got[3001].kept
+
+
+def test_quantiles_take_the_nearest_lengths(spark):
+    held = [("en", b, float(10 * b + i % 2)) for b, n in ((3, 5), (8, 20), (9, 45), (10, 70), (12, 10)) for i in range(n)] + [("de", 5, 7.0)]
+    got = {(x.own, x.lang, x.bin): x.cut for x in quality.quantiles(spark.createDataFrame(held, "lang string, bin int, perplexity double"), 1.0).collect()}
+    # Bin 9 takes 10 with it (the longer one first), 8 takes 9, 12 and beyond take 10, and 3 takes 8 and 9.
+    assert [got[True, "en", b] for b in (0, 3, 8, 9, 10, 12, 31)] == [91, 91, 91, 101, 101, 121, 121]
+    assert {got[True, "de", b] for b in range(32)} == {7} and got[False, "", 10] == 101 and got[False, "", 4] == 91
