@@ -183,6 +183,30 @@ def local_join(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray |
     return root
 
 
+def local_links(sets: list[np.ndarray], weights: np.ndarray, num: int, den: int, side: np.ndarray | None = None) -> np.ndarray:
+    """For each set the total weight of the others that it links with: all pairs that the overlap bounds
+    leave are verified.  ``side``: only sets of different sides are compared."""
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    d = int(dims_for(sizes.min(keepdims=True))[0])
+    counts = vectors(np.concatenate(sets), np.append(0, np.cumsum(sizes)), np.full(m, d))[0].reshape(m, d).astype(np.int32)
+    tree = CountTree(counts, sizes)
+    order = tree.order
+    out = np.zeros(m, np.int64)
+    for p in range(m):
+        i = order[p]
+        near = tree.near(counts[i], int(sizes[i]), num, den, p)
+        near = order[near[near > p]]
+        if side is not None:
+            near = near[side[near] != side[i]]
+        for j in near.tolist():
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if den * both >= num * (sizes[i] + sizes[j] - both):
+                out[i] += weights[j]
+                out[j] += weights[i]
+    return out
+
+
 def _vector_column(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
     flat, base = vectors(h, bounds, dims_for(np.diff(bounds)))
     raw, at = flat.tobytes(), (2 * base).tolist()
@@ -379,19 +403,54 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def _tile(t: pa.Table) -> tuple[pa.Table, np.ndarray, list[np.ndarray]]:
+    """The rows of a tile (or of two), their uids and sets."""
+    t = t.combine_chunks()
+    uid = t.column("uid").to_numpy()
+    _, first = np.unique(uid, return_index=True)  # rows that repeat an id and text
+    t = t.take(pa.array(first))
+    col = t.column("hashes").combine_chunks()
+    col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+    off = col.offsets.to_numpy()
+    flat = col.values.to_numpy().view(np.uint64)
+    return t, uid[first], [flat[x:y] for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
+
+
+def _count_tiles(num: int, den: int):
+    """uid, links of sorted rows (cluster, i, j, tile, uid, copies, hashes): links within a tile (i = j) or
+    between two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["cluster", "i", "j"]):
+            t, uid, sets = _tile(t)
+            side = None if t.column("i")[0] == t.column("j")[0] else t.column("tile").to_numpy()
+            yield pa.record_batch({"uid": pa.array(uid), "links": pa.array(local_links(sets, t.column("copies").to_numpy(), num, den, side))})
+        release()
+
+    return run
+
+
+def _tiles(tile_shingles: int, tile_sets: int):
+    return F.ceil(F.greatest(F.col("shingles") / tile_shingles, F.col("sets") / tile_sets)).cast("int")
+
+
+def _all_links(near: DataFrame, copies: DataFrame, num: int, den: int, tile_shingles: int, tile_sets: int) -> DataFrame:
+    """uid, links of all sets ``near`` (cluster, uid, n, hashes): every pair of tiles of a cluster is joined,
+    whatever is connected, and each link counts as often as the other set has rows (``copies``)."""
+    sizes = near.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
+    tiles = written(sizes.select("cluster", _tiles(tile_shingles, tile_sets).alias("tiles")), "cluster-tiles")
+    tiled = near.join(tiles, "cluster").join(copies, "uid").withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
+    other = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pairs = other.select("cluster", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "uid", "copies", "hashes")
+    key = ["cluster", "i", "j"]
+    found = pairs.repartition(*key).sortWithinPartitions(*key).mapInArrow(_count_tiles(num, den), "uid long, links long")
+    return written(found.groupBy("uid").agg(F.sum("links").alias("links")), "links")
+
+
 def _join_tiles(num: int, den: int, key: list[str], paired: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, key):
-            t = t.combine_chunks()
-            uid = t.column("uid").to_numpy()
-            _, first = np.unique(uid, return_index=True)  # rows that repeat an id and text
-            t = t.take(pa.array(first))
-            uid = uid[first]
-            col = t.column("hashes").combine_chunks()
-            col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
-            off = col.offsets.to_numpy()
-            flat = col.values.to_numpy().view(np.uint64)
-            sets = [flat[x:y] for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
+            t, uid, sets = _tile(t)
             labels = t.column("root").to_numpy() if paired else None
             root = local_join(sets, num, den, labels, t.column("tile").to_numpy() if paired else None)
             yield pa.record_batch({"uid": pa.array(uid), "root": pa.array(uid[root])})
@@ -403,8 +462,7 @@ def _join_tiles(num: int, den: int, key: list[str], paired: bool):
 def _linked(sets: DataFrame, num: int, den: int, tile_shingles: int, tile_sets: int) -> DataFrame:
     """uid, root of all sets (cluster, uid, n, hashes), where sets can link within a cluster only."""
     sizes = sets.groupBy("cluster").agg(F.sum("n").alias("shingles"), F.count("*").alias("sets"))
-    tiles = F.ceil(F.greatest(F.col("shingles") / tile_shingles, F.col("sets") / tile_sets)).cast("int")
-    large = written(sizes.withColumn("tiles", tiles).where("tiles > 1").select("cluster", "tiles"), "large-clusters")
+    large = written(sizes.withColumn("tiles", _tiles(tile_shingles, tile_sets)).where("tiles > 1").select("cluster", "tiles"), "large-clusters")
     single = large.isEmpty()
     tiled = sets.withColumn("tile", F.lit(0)) if single else sets.join(large, "cluster", "left").withColumn("tile", F.coalesce(F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"), F.lit(0)))
     if not single:
@@ -437,10 +495,13 @@ def _linked(sets: DataFrame, num: int, den: int, tile_shingles: int, tile_sets:
     return written(labels.join(final, labels.uid == final.node, "left").select("uid", F.coalesce(final.root, labels.root).alias("root")), "labels")
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, tile_shingles: int = TILE_SHINGLES, tile_sets: int = TILE_SETS) -> DataFrame:
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, tile_shingles: int = TILE_SHINGLES, tile_sets: int = TILE_SETS, links: bool = False) -> DataFrame:
     """One row per row of ``df``: id, n_shingles (of its set) and component (the smallest id that is
     reachable by links, its own included).  By default five-word shingles and a similarity of 0.8.
 
+    With ``links`` also copies (the number of other rows with the same set) and links (the number of rows
+    with another set that it links with): then all candidate pairs are verified, also connected ones.
+
     A-Z are lower-cased; words are runs of bytes other than ASCII white space; a text of fewer than k
     words has its whole sequence as one shingle.  Null, empty and blank texts have no shingles and
     link with nothing.  Rows that repeat an id are one document; a null id comes after all others.  An empty table gives no rows; other
@@ -449,7 +510,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     rows = known_ids(id_text(df, id_col, text_col))
     points = kept(rows.mapInArrow(_points(k, False), "id long, n long, d1 long, d2 long, vector binary"))
     key = ["d1", "d2", "n"]
-    sets = points.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.min("vector").alias("vector"))
+    sets = points.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.min("vector").alias("vector"), F.count("*").alias("copies"))
     sets = written(sets.withColumn("uid", F.monotonically_increasing_id()), "sets")
     # One text of each set is read again and sends its signatures.
     asked = rows.join(bounded(sets.select("uid", "d1", "d2", F.col("rep").alias("id"))), "id")
@@ -470,8 +531,13 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     low = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     known = rooted.join(low, "root").select("uid", "component")
     by_set = sets.select("uid", "rep", *key).join(known, "uid", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    out = points.select("id", *key).join(by_set, key, "left")
-    out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
+    columns = ["id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")]
+    if links:
+        counted = _all_links(near, sets.select("uid", "copies"), num, den, tile_shingles, tile_sets)
+        more = sets.select("uid", *key, "copies").join(counted, "uid", "left").select(*key, "copies", F.coalesce("links", F.lit(0)).alias("links"))
+        by_set = by_set.join(more, key)
+        columns += [F.coalesce(F.col("copies") - 1, F.lit(0)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links")]
+    out = points.select("id", *key).join(by_set, key, "left").select(*columns)
     return shown_ids(out, "id", "component")
 
 

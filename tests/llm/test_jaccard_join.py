@@ -77,6 +77,21 @@ def test_classes(spark, seed, k, num, den, tile):
     assert sorted((r.id, r.n_shingles, r.component) for r in got) == brute(rows, k, num, den)
 
 
+@pytest.mark.parametrize("tile", [4096, 3])
+def test_links(spark, tile):
+    base = [f"w{i}" for i in range(60)]
+    edit = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    # Edits at the ends: texts of a chain link with some of the others, those of a clique with all.
+    rows = [(1, None), (2, edit()), (3, edit()), *[(10 + i, edit(*range(i))) for i in range(1, 9)], *[(30 + i, edit(59 - i)) for i in range(6)], (50, "a b c")]
+    sets = [shingle_set(t, 3) for _, t in rows]
+    linked = lambda a, b: a and b and a != b and 100 * len(a & b) >= 90 * len(a | b)
+    want = [(i, sum(bool(a) and a == b for b in sets) - bool(a), sum(bool(linked(a, b)) for b in sets)) for (i, _), a in zip(rows, sets)]
+    assert len({x[2] for x in want}) > 3
+    got = jj.classes(table(spark, rows).repartition(3), k=3, num=90, den=100, tile_sets=tile, links=True).collect()
+    assert sorted((r.id, r.copies, r.links) for r in got) == want
+    assert sorted((r.id, r.n_shingles, r.component) for r in got) == brute(rows, 3, 90, 100)
+
+
 def test_empty(spark):
     assert jj.classes(table(spark, [])).count() == 0
     got = jj.classes(table(spark, [(1, "a b c"), (1, "a b c"), (2, None)]), k=3, num=90).collect()
