@@ -21,6 +21,7 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,16 +43,24 @@ ROWS_PER_LANE = 200_000
 # Tokens ------------------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
+@lru_cache(maxsize=4)
+def _tokenizer(path: str, special: bool = True):
+    """The tokenizer as the library has it, or (not ``special``) one that takes the strings of special
+    tokens for ordinary text: for words, which may get such a form only by lower-casing."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings are ordinary text
+    t.encode_special_tokens = not special
     return t
 
 
+@lru_cache(maxsize=2)
+def _specials(path: str) -> list[bytes]:
+    """The strings that the library takes for special tokens: texts that hold one are encoded whole."""
+    return [t.content.encode() for t in _tokenizer(path).get_added_tokens_decoder().values()]
+
+
 @lru_cache(maxsize=2)
 def words_hold(path: str) -> bool:
     """Whether a text's ids are those of its words, cut at ASCII white space: white space is dropped
@@ -167,7 +176,7 @@ def _plain_tokenizer(path: str):
 
 def _encoded_words(path: str, words: list[bytes], kind: str) -> list[bytes]:
     """The ids of each word, by a few calls for all."""
-    t, plain = _tokenizer(path), _plain_tokenizer(path)
+    t, plain = _tokenizer(path, False), _plain_tokenizer(path)
     out: list[bytes | None] = [None] * len(words)
     if plain:
         model, alphabet, ends = plain
@@ -196,6 +205,12 @@ def _encoded_words(path: str, words: list[bytes], kind: str) -> list[bytes]:
     return out
 
 
+def _holding(raw: bytes, at: np.ndarray, strings: list[bytes]) -> set[int]:
+    """The rows that hold one of ``strings``."""
+    found = [m.start() for x in strings if x in raw for m in re.finditer(re.escape(x), raw)]
+    return set((np.searchsorted(at, found, side="right") - 1).tolist()) if found else set()
+
+
 def _tokens(path: str, end: int, whole: bool, width: int):
     kind = f"<u{width}"
 
@@ -212,17 +227,20 @@ def _tokens(path: str, end: int, whole: bool, width: int):
                     texts = b.column("text").slice(i, j - i).to_pylist()
                     out = [np.array(e.ids, kind).tobytes() + tail for e in t.encode_batch_fast(texts, add_special_tokens=False)]
                 else:
+                    special = _holding(part.tobytes(), at, _specials(path))
                     low = _lowered(part)
                     marks = _marked_ends(low, at)
                     raw = np.insert(low, marks, 32).tobytes()
                     bounds = (at + np.searchsorted(marks, at)).tolist()
-                    cut = [raw[x:y].split() for x, y in zip(bounds, bounds[1:])]
+                    cut = [[] if r in special else raw[x:y].split() for r, (x, y) in enumerate(zip(bounds, bounds[1:]))]
                     if len(table) > TABLE:
                         table = _Words()
                     numbers = [list(map(table.__getitem__, x)) for x in cut]
                     table.learn(path, kind)
                     known = table.ids.__getitem__
                     out = [b"".join(map(known, x)) + tail for x in numbers]
+                    for r in special:
+                        out[r] = np.array(t.encode(b.column("text")[i + r].as_py() or "", add_special_tokens=False).ids, kind).tobytes() + tail
                 yield pa.record_batch({"id": b.column("id").slice(i, j - i), "n": pa.array([len(x) // width for x in out], pa.int64()), "tokens": pa.array(out, pa.binary())})
         del table
         gc.enable()
