@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import drop_written, written
 
-__all__ = ["BROADCAST_ROWS", "NO_ID", "bounded", "chunks", "documents", "drop_written", "id_text", "kept", "known_ids", "lists", "release", "shown_ids", "small_batches", "utf8", "written"]
+__all__ = ["BROADCAST_ROWS", "NO_ID", "bounded", "chunks", "documents", "drop_written", "id_text", "kept", "known_ids", "lists", "release", "shown_ids", "small_batches", "text_hash", "utf8", "without", "written"]
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -68,6 +68,18 @@ def shown_ids(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in columns or ("id",)})
 
 
+def text_hash(text_col: str) -> Column:
+    """64 bits of a text (null: empty), which tell rows apart that share an id."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose id (null: NO_ID) and text hash are not in the written table ``gone`` (id, h)."""
+    told = bounded(gone.select(F.col("id").alias("__gone"), F.col("h").alias("__gone_h")))
+    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    return df.join(told, (own == F.col("__gone")) & (text_hash(text_col) == F.col("__gone_h")), "left_anti")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the row offsets into them (null: empty)."""
     if column.null_count:

@@ -20,6 +20,7 @@ they are not connected as a whole.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, id_text, kept, known_ids, lists, release, shown_ids, utf8, written
+from .common import bounded, chunks, id_text, kept, known_ids, lists, release, shown_ids, text_hash, utf8, without, written
 from .components import components
 from .shingles import lower_ascii, mix, shingles, words
 
@@ -213,16 +214,23 @@ def _vector_column(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.array([raw[x:y] for x, y in zip(at, at[1:])], pa.binary())
 
 
+def _once(b: pa.RecordBatch, *key: str) -> pa.RecordBatch:
+    """The first row of each key in a batch."""
+    _, first = np.unique(np.stack([b.column(c).to_numpy() for c in key], axis=1), axis=0, return_index=True)
+    return b if len(first) == b.num_rows else b.take(pa.array(np.sort(first)))
+
+
 def _points(k: int, full: bool):
-    """id, n and two digests of each text's set, and its shingles or (not ``full``) its count vector."""
+    """id, h, n and two digests of each text's set, and its shingles or (not ``full``) its count vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = _once(b, "id", "h") if full else b
             data, off = utf8(b.column("text"))
             for i, j in chunks(off, CHUNK):
                 h, bounds = sets_of(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 d1, d2 = digests(h, bounds)
-                out = {"id": b.column("id").slice(i, j - i), "n": pa.array(np.diff(bounds)), "d1": pa.array(d1), "d2": pa.array(d2)}
+                out = {"id": b.column("id").slice(i, j - i), "h": b.column("h").slice(i, j - i), "n": pa.array(np.diff(bounds)), "d1": pa.array(d1), "d2": pa.array(d2)}
                 more = {"hashes": lists(h.view(np.int64), bounds[1:], pa.int64())} if full else {"vector": _vector_column(h, bounds)}
                 yield pa.record_batch(out | more)
         release()
@@ -235,6 +243,7 @@ def _signed(k: int, num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = _once(b, "uid")
             data, off = utf8(b.column("text"))
             uid, a1, a2 = (b.column(c).to_numpy() for c in ("uid", "d1", "d2"))
             for i, j in chunks(off, CHUNK):
@@ -255,15 +264,20 @@ MEMBERS = 4096
 
 def _member_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in order of signature and uid: the members of each signature that has several, with a
-    hash of the list.  Longer lists come in parts that share their first member (and have no hash)."""
+    digest of the list.  Longer lists come in parts that share their first member (and have no digest)."""
     def told(members: list[np.ndarray], whole: list[bool]) -> pa.RecordBatch:
-        with np.errstate(over="ignore"):
-            keys = [int(mix(np.array([np.sum(mix(m.view(np.uint64) ^ np.uint64(len(m))))]))[0].view(np.int64)) if w else None for m, w in zip(members, whole)]
-        return pa.record_batch({"list": pa.array(keys, pa.int64()), "members": lists(np.concatenate(members), np.cumsum([len(m) for m in members]), pa.int64())})
+        keys = [np.frombuffer(hashlib.blake2b(m.tobytes(), digest_size=16).digest(), np.int64).tolist() if w else (None, None) for m, w in zip(members, whole)]
+        one, two = zip(*keys)
+        return pa.record_batch({"list": pa.array(one, pa.int64()), "more": pa.array(two, pa.int64()), "members": lists(np.concatenate(members), np.cumsum([len(m) for m in members]), pa.int64())})
 
     held_s, held, long = None, np.zeros(0, np.int64), False
     for b in batches:
         s, u = b.column("s").to_numpy(), b.column("uid").to_numpy()
+        new = np.ones(len(s), bool)  # a row that repeats an id and text may have sent its signatures again
+        new[1:] = (s[1:] != s[:-1]) | (u[1:] != u[:-1])
+        if len(s) and s[0] == held_s and len(held) and u[0] == held[-1]:
+            new[0] = False
+        s, u = s[new], u[new]
         if not len(s):
             continue
         cut = np.flatnonzero(s[1:] != s[:-1]) + 1
@@ -351,9 +365,12 @@ def _near_members(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
+        def starts(t: pa.Table) -> np.ndarray:
+            one, two = t.column("list").to_numpy(), t.column("more").to_numpy()
+            return np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+
         def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = t.column("list").to_numpy()
-            first = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            first = np.append(starts(t), t.num_rows)
             data, off = utf8(t.column("vector").combine_chunks().cast(pa.large_binary()) if t.column("vector").num_chunks != 1 else t.column("vector").chunk(0))
             found = pairs(t.column("uid").to_numpy(), t.column("n").to_numpy(), np.frombuffer(data.tobytes(), np.uint16), off // 2, first)
             if found:
@@ -365,8 +382,7 @@ def _near_members(num: int, den: int):
                 continue
             t = pa.Table.from_batches([b])
             t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            key = t.column("list").to_numpy()
-            last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+            last = int(starts(t)[-1])
             if last:
                 yield from solved(t.slice(0, last).combine_chunks())
             held = t.slice(last)
@@ -495,6 +511,11 @@ def _linked(sets: DataFrame, num: int, den: int, tile_shingles: int, tile_sets:
     return written(labels.join(final, labels.uid == final.node, "left").select("uid", F.coalesce(final.root, labels.root).alias("root")), "labels")
 
 
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and h (a hash of the text, which tells rows apart that share an id)."""
+    return known_ids(id_text(df, id_col, text_col)).withColumn("h", text_hash("text"))
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, tile_shingles: int = TILE_SHINGLES, tile_sets: int = TILE_SETS, links: bool = False) -> DataFrame:
     """One row per row of ``df``: id, n_shingles (of its set) and component (the smallest id that is
     reachable by links, its own included).  By default five-word shingles and a similarity of 0.8.
@@ -504,46 +525,59 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
 
     A-Z are lower-cased; words are runs of bytes other than ASCII white space; a text of fewer than k
     words has its whole sequence as one shingle.  Null, empty and blank texts have no shingles and
-    link with nothing.  Rows that repeat an id are one document; a null id comes after all others.  An empty table gives no rows; other
-    columns of ``df`` are not read.
+    link with nothing.  Repeated ids and null ids (which come after all others) are rows of their own.  An
+    empty table gives no rows; other columns of ``df`` are not read.
     """
-    rows = known_ids(id_text(df, id_col, text_col))
-    points = kept(rows.mapInArrow(_points(k, False), "id long, n long, d1 long, d2 long, vector binary"))
+    found = _classes(df, id_col, text_col, k, num, den, tile_shingles, tile_sets, links)
+    more = ["copies", "links"] if links else []
+    return shown_ids(found.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"), *more), "id", "component")
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, tile_shingles: int = TILE_SHINGLES, tile_sets: int = TILE_SETS, links: bool = False) -> DataFrame:
+    """As :func:`classes`, also with h (the text's hash) and low_h (that of the class's first row: the
+    one with the smallest id and, among these, the smallest hash); null ids are NO_ID, and component and
+    low_h are null for rows without shingles."""
+    rows = _texts(df, id_col, text_col)
+    points = kept(rows.mapInArrow(_points(k, False), "id long, h long, n long, d1 long, d2 long, vector binary"))
     key = ["d1", "d2", "n"]
-    sets = points.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.min("vector").alias("vector"), F.count("*").alias("copies"))
+    first = F.min(F.struct("id", "h")).alias("first")
+    sets = points.where("n > 0").groupBy(*key).agg(first, F.min("vector").alias("vector"), F.count("*").alias("copies"))
+    sets = sets.select(*key, "vector", "copies", F.col("first.id").alias("rep"), F.col("first.h").alias("rep_h"))
     sets = written(sets.withColumn("uid", F.monotonically_increasing_id()), "sets")
-    # One text of each set is read again and sends its signatures.
-    asked = rows.join(bounded(sets.select("uid", "d1", "d2", F.col("rep").alias("id"))), "id")
-    sent = asked.mapInArrow(_signed(k, num, den), "uid long, s long")
-    found = kept(sent.repartition("s").sortWithinPartitions("s", "uid").mapInArrow(_member_lists, "list long, members array<long>"))
+    # One text of each set is read again and sends its signatures.  Rows that share an id meet by their text.
+    asked = rows.join(bounded(sets.select("uid", "d1", "d2", F.col("rep").alias("id"), F.col("rep_h").alias("h"))), ["id", "h"])
+    sent = asked.select("uid", "d1", "d2", "text").mapInArrow(_signed(k, num, den), "uid long, s long")
+    found = kept(sent.repartition("s").sortWithinPartitions("s", "uid").mapInArrow(_member_lists, "list long, more long, members array<long>"))
     # Near copies share most of their signatures: the same list of members counts once.
-    once = found.where("list is not null").groupBy("list").agg(F.first("members").alias("members"))
-    rows_of = once.select("list", F.explode("members").alias("uid")).join(sets.select("uid", "n", "vector"), "uid")
-    pairs = rows_of.repartition("list").sortWithinPartitions("list", "uid").mapInArrow(_near_members(num, den), "a long, b long")
+    once = found.where("list is not null").groupBy("list", "more").agg(F.first("members").alias("members"))
+    rows_of = once.select("list", "more", F.explode("members").alias("uid")).join(sets.select("uid", "n", "vector"), "uid")
+    pairs = rows_of.repartition("list", "more").sortWithinPartitions("list", "more", "uid").mapInArrow(_near_members(num, den), "a long, b long")
     many = found.where("list is null").select(F.col("members")[0].alias("a"), F.explode("members").alias("b"))
     clusters = components(pairs.unionByName(many))
-    member = written(sets.join(clusters, sets.uid == clusters.node).select("uid", "rep", *key, F.col("root").alias("cluster")), "members")
-    few = rows.join(bounded(member.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
-    full = few.mapInArrow(_points(k, True), "id long, n long, d1 long, d2 long, hashes array<long>").withColumnRenamed("id", "rep")
-    near = kept(full.join(member, ["rep", *key]).select("cluster", "uid", "n", "hashes"))
+    member = written(sets.join(clusters, sets.uid == clusters.node).select("uid", "rep", "rep_h", *key, F.col("root").alias("cluster")), "members")
+    few = rows.join(bounded(member.select(F.col("rep").alias("id"), F.col("rep_h").alias("h")).distinct()), ["id", "h"], "left_semi")
+    full = few.mapInArrow(_points(k, True), "id long, h long, n long, d1 long, d2 long, hashes array<long>").withColumnsRenamed({"id": "rep", "h": "rep_h"})
+    # Rows that repeat an id and text give the same set again: batches and tiles take it once.
+    near = kept(full.join(member, ["rep", "rep_h", *key]).select("cluster", "uid", "n", "hashes"))
     linked = _linked(near, num, den, tile_shingles, tile_sets)
-    rooted = linked.join(member.select("uid", "rep"), "uid")
-    low = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    known = rooted.join(low, "root").select("uid", "component")
-    by_set = sets.select("uid", "rep", *key).join(known, "uid", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    columns = ["id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")]
+    rooted = linked.join(member.select("uid", "rep", "rep_h"), "uid")
+    low = rooted.groupBy("root").agg(F.min(F.struct("rep", "rep_h")).alias("low"))
+    known = rooted.join(low, "root").select("uid", "low")
+    own = F.struct("rep", "rep_h")
+    by_set = sets.select("uid", "rep", "rep_h", *key).join(known, "uid", "left").select(*key, F.coalesce("low", own).alias("low"))
+    columns = ["id", "h", "n", F.col("low.rep").alias("component"), F.col("low.rep_h").alias("low_h")]
     if links:
         counted = _all_links(near, sets.select("uid", "copies"), num, den, tile_shingles, tile_sets)
         more = sets.select("uid", *key, "copies").join(counted, "uid", "left").select(*key, "copies", F.coalesce("links", F.lit(0)).alias("links"))
         by_set = by_set.join(more, key)
         columns += [F.coalesce(F.col("copies") - 1, F.lit(0)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links")]
-    out = points.select("id", *key).join(by_set, key, "left").select(*columns)
-    return shown_ids(out, "id", "component")
+    return points.select("id", "h", *key).join(by_set, key, "left").select(*columns)
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their class, with all their columns.  Rows with a
-    null id stay."""
-    found = classes(df, id_col, text_col, k, num, den)
-    gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
-    return df.join(bounded(written(gone, "near-copies")), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``df`` that come first in their class (by id, null ids last, then by a hash of the text),
+    with all their columns.  Rows without words stay; rows that repeat the first one's id and text stay
+    with it.  An empty table gives no rows."""
+    found = _classes(df, id_col, text_col, k, num, den)
+    gone = found.where("id <> component or h <> low_h").select("id", "h").distinct()
+    return without(df, written(gone, "near-copies"), id_col, text_col)

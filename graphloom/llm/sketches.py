@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_text, lists, utf8
+from .common import chunks, id_text, known_ids, lists, shown_ids, utf8
 from .shingles import shingles, words
 
 WORDS = 5
@@ -50,8 +51,12 @@ def sketch(texts: pa.Array, k: int = WORDS, fraction: float = FRACTION) -> list[
 
 
 def containment(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> float:
-    """The estimated part of the smaller sketch's shingles that the other has too (0 to 1).  Where one
-    has no hash below the threshold, 1 if the sketches are equal, else 0."""
+    """The estimated part of the smaller sketch's shingles that the other has too (0 to 1).
+
+    Where one has no hash below the threshold (a text of n shingles with chance (1 - fraction) ** n), no
+    estimate can be made: 1 if the sketches are equal, else 0, also for a short text that is a part of
+    the other.
+    """
     limit = _limit(fraction)
     if not len(a) or not len(b) or a[0] >= limit or b[0] >= limit:
         return float(np.array_equal(a, b))
@@ -80,48 +85,76 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return id_text(df, id_col, text_col).mapInArrow(run, "id long, hashes array<long>")
 
 
-def merged(prints: DataFrame, by: str) -> DataFrame:
-    """The sketch of the union of texts, for each value of ``by``."""
-    return prints.select(by, F.explode("hashes").alias("h")).groupBy(by).agg(F.array_sort(F.collect_set("h")).alias("hashes"))
+def _below(h: Column, fraction: float) -> Column:
+    """Whether a hash, as a signed number, is below the threshold."""
+    flipped = h.bitwiseXOR(F.lit(-(1 << 63)))
+    return flipped < F.lit(int(_limit(fraction)) - (1 << 63))
+
+
+def merged_hashes(prints: DataFrame, by: str, fraction: float = FRACTION) -> DataFrame:
+    """The sketch of the union of texts, for each value of ``by``, as rows by, hash: the distinct hashes
+    below the threshold, or (where no text has one) the smallest hash.  No group is brought together."""
+    each = prints.select(by, F.explode("hashes").alias("hash")).distinct()
+    low = each.where(_below(F.col("hash"), fraction))
+    # As unsigned numbers: the sign bit flipped.
+    flipped = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))
+    smallest = each.groupBy(by).agg(F.min(flipped).alias("m")).select(by, F.col("m").bitwiseXOR(F.lit(-(1 << 63))).alias("hash"))
+    return low.unionByName(smallest.where(~_below(F.col("hash"), fraction)))
+
 
+def merged(prints: DataFrame, by: str, fraction: float = FRACTION) -> DataFrame:
+    """:func:`merged_hashes` with one row for each value of ``by``: by, hashes (ascending as unsigned
+    numbers).  A row is as long as the sketch of the union; unions of very many texts stay as rows."""
+    flipped = F.array_sort(F.collect_list(F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))))
+    out = merged_hashes(prints, by, fraction).groupBy(by).agg(flipped.alias("hashes"))
+    return out.withColumn("hashes", F.transform("hashes", lambda h: h.bitwiseXOR(F.lit(-(1 << 63)))))
 
-def contained(a: Column, b: Column) -> Column:
-    """As :func:`containment`, of two hash columns whose texts have hashes below the threshold."""
-    return F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
 
+def contained(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """As :func:`containment`, of two hash columns."""
+    sure = (F.size(a) > 0) & (F.size(b) > 0) & _below(F.element_at(a, 1), fraction) & _below(F.element_at(b, 1), fraction)
+    return F.when(sure, F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise((a == b).cast("double"))
 
-def _first_ids(rows: DataFrame) -> list[int]:
-    ids = rows.select("id")
-    n = min(MOST_RANGES, max(1, ids.count() // ROWS_PER_RANGE))
+
+def _firsts(rows: DataFrame) -> list[tuple[int, int]]:
+    """The first (id, row) of each range."""
+    keys = rows.select("id", "row")
+    n = min(MOST_RANGES, max(1, keys.count() // ROWS_PER_RANGE))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = [pa.compute.min(b.column("id")).as_py() for b in batches if len(b)]
+        low = [min(zip(b.column("id").to_pylist(), b.column("row").to_pylist())) for b in batches if len(b)]
         if low:
-            yield pa.record_batch({"id": pa.array([min(low)], pa.int64())})
+            i, r = min(low)
+            yield pa.record_batch({"id": pa.array([i], pa.int64()), "row": pa.array([r], pa.int64())})
 
-    return sorted(r.id for r in ids.where("id is not null").repartitionByRange(n, "id").mapInArrow(first, "id long").collect())
+    return sorted((r.id, r.row) for r in keys.repartitionByRange(n, "id", "row").mapInArrow(first, "id long, row long").collect())
 
 
 def with_next(df: DataFrame, make, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``make(batch, texts, following)`` of all rows in order of id (ties by text), where ``following``
-    has the text of the next row for each; after the last comes the first.
+    """``make(batch, texts, following)`` of all rows in order of id (ties by their place in the table),
+    where ``following`` has the text of the next row for each; after the last comes the first.  Rows
+    with a null id (NO_ID for ``make``) come last.
 
-    Rows are dealt to ranges of ids; the first row of each range is also sent to the range before.  A
-    task holds one batch and a row.  Rows with a null id are left out.
+    Rows are dealt to ranges of id and place, so that neither a repeated nor a null id fills one; the
+    first row of each range is also sent to the range before.  A task holds one batch and a row.  ``df``
+    is read twice and must give its rows in the same places, as files do.
     """
-    rows = id_text(df, id_col, text_col).where("id is not null")
-    begins = np.array(_first_ids(rows), np.int64)
-    if not len(begins):
+    rows = known_ids(id_text(df, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
+    begins = _firsts(rows)
+    if not begins:
         return rows.limit(0).mapInArrow(lambda b: iter(()), schema)
 
+    names = ["range", "halo", "id", "row", "text"]
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("id").to_numpy()
-            at = np.searchsorted(begins, ids, side="right") - 1
-            yield pa.record_batch({"range": pa.array(at), "halo": pa.array(np.zeros(len(ids), bool)), "id": b.column("id"), "text": b.column("text")})
-            edge = np.flatnonzero(begins[at] == ids)
-            if len(edge):
-                yield pa.record_batch({"range": pa.array((at[edge] - 1) % len(begins)), "halo": pa.array(np.ones(len(edge), bool)), "id": pa.array(ids[edge]), "text": b.column("text").take(pa.array(edge))})
+            keys = list(zip(b.column("id").to_pylist(), b.column("row").to_pylist()))
+            at = [bisect_right(begins, k) - 1 for k in keys]
+            data = [b.column("id"), b.column("row"), b.column("text")]
+            yield pa.record_batch([pa.array(at, pa.int64()), pa.array([False] * len(at)), *data], names=names)
+            edge = [i for i, k in enumerate(keys) if begins[at[i]] == k]
+            if edge:
+                yield pa.record_batch([pa.array([(at[i] - 1) % len(begins) for i in edge], pa.int64()), pa.array([True] * len(edge)), *(c.take(pa.array(edge)) for c in data)], names=names)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, int, str] | None = None
@@ -139,8 +172,8 @@ def with_next(df: DataFrame, make, schema: str, id_col: str = "doc_id", text_col
             if out:
                 yield make(*(list(x) for x in zip(*out)))
 
-    dealt = rows.mapInArrow(deal, "range long, halo boolean, id long, text string")
-    return dealt.repartition("range").sortWithinPartitions("range", "halo", "id", "text").mapInArrow(pair, schema)
+    dealt = rows.mapInArrow(deal, "range long, halo boolean, id long, row long, text string")
+    return dealt.repartition("range").sortWithinPartitions("range", "halo", "id", "row").mapInArrow(pair, schema)
 
 
 def edited(text: str, following: str) -> str:
@@ -151,7 +184,12 @@ def edited(text: str, following: str) -> str:
 
 def edit_study(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, fraction: float = FRACTION) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness to each other and to the
-    next text: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    next text: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Null text counts as empty.  Rows with a null id come after all others; repeated ids are rows of their
+    own, in the order of the table.  A single row is its own next one.  An empty table gives no rows;
+    other columns of ``df`` are not read.
+    """
 
     def make(ids: list[int], texts: list[str], following: list[str]) -> pa.RecordBatch:
         changed = [edited(t, f) for t, f in zip(texts, following)]
@@ -172,4 +210,4 @@ def edit_study(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         )
 
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(df, make, schema, id_col, text_col)
+    return shown_ids(with_next(df, make, schema, id_col, text_col))

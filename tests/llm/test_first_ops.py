@@ -66,10 +66,19 @@ def test_shards_are_even(spark):
 def test_placement_follows_the_dot_product():
     import numpy as np
 
-    v = np.array([[8, 1], [1, 8], [4, 4], [4, 4], [1, 1]], float)
-    s = sharding.place(v, 2)
-    loads = [v[s == k].sum(axis=0) for k in range(2)]
-    assert abs(loads[0] - loads[1]).max() <= 8
+    r = random.Random(4)
+    for _ in range(100):
+        shards = r.randrange(1, 6)
+        v = np.array([[r.randrange(1, 50) for _ in range(3)] for _ in range(r.randrange(1, 40))], float)
+        share = v / v.sum(axis=0) * shards
+        room = [[1.0] * 3 for _ in range(shards)]
+        want = {}
+        for i in sorted(range(len(v)), key=lambda i: -max(share[i])):  # ties: the first item
+            fit = [sum(a * b for a, b in zip(room[s], share[i])) for s in range(shards)]
+            got = int(sharding.place(v, shards)[i])
+            assert fit[got] >= max(fit) - 1e-9
+            want[i] = got
+            room[got] = [a - b for a, b in zip(room[got], share[i])]
 
 
 CONV = "conv_id long, turn int, role string, text string, valid int, segments int"

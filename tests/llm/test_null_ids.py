@@ -18,7 +18,7 @@ def docs(spark):
 def test_all(spark, docs):
     assert sharding.assign(docs, 4).count() == 8
     assert sketches.fingerprints(docs).count() == 8
-    assert sketches.edit_study(docs).count() == 4  # pairs need ids
+    assert sketches.edit_study(docs).count() == 8
     assert packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")).count() >= 8
     assert sentence_pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model")).count() == 8
     assert language_id.predicted(docs, language_id.fit(docs)).count() == 8
@@ -41,4 +41,40 @@ def test_repeats(docs):
     n = len(LONG)
     assert got[3, n + 1] == [(0, n)] and got[None, n + 1] == [(1, n + 1)]
     assert suffix_dedup.stripped(docs).where("id is null and kept is not null").first().kept == b"y"
-    assert suffix_dedup.cleaned(docs).count() == 8
+    left = suffix_dedup.cleaned(docs)
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect() if r.text and len(r.text) < 3) == [(0, "y"), (3, "x"), (4, "z")]
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Null ids with one text, null ids with different texts, and one id with different texts, at volume."""
+    n = 2000
+    rows = [(None, "hot text of six or seven words")] * n + [(None, f"w{i} alone in this row only") for i in range(n)] + [(5, f"v{i} other words of row {i}") for i in range(n)]
+    return spark.createDataFrame([(i, t, "en", 1, 2, "d", "o", "g") for i, t in rows], SCHEMA).repartition(4)
+
+
+def test_many_rows_share_an_id(spark, many):
+    n = many.count()
+    by = sharding.assign(many, 16).groupBy("shard").agg({"size": "sum", "*": "count"}).collect()
+    sizes = [r["sum(size)"] for r in by]
+    assert len(by) == 16 and sum(r["count(1)"] for r in by) == n and max(sizes) < 1.03 * min(sizes)
+    assert sketches.edit_study(many).count() == n
+    got = jaccard_join.classes(many, k=3, num=90).collect()
+    assert len(got) == n and all(r.component == r.id for r in got)
+    assert jaccard_join.representatives(many).count() == n
+    got = exact_dedup.groups(many).collect()
+    assert len(got) == n and sum(r.kept for r in got) == n - 1999 and {r.group_size for r in got} == {1, 2000}
+    assert exact_dedup.deduplicated(many).count() == n - 1999
+
+
+def test_pairs_follow_the_table_where_ids_are_equal(spark):
+    rows = [(2, "b"), (1, "a"), (None, "n"), (None, "m"), (1, "c")]
+    got = sketches.edit_study(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert [r.id for r in sorted(got, key=lambda r: (r.id is None, r.id))] == [1, 1, 2, None, None]
+
+
+def test_near_copies_with_null_ids(spark):
+    words = [f"w{i}" for i in range(80)]
+    rows = [(None, " ".join(words)), (None, " ".join(words[1:])), (None, "quite another text"), (7, None), (None, None), (9, " ".join(words[2:]))]
+    left = jaccard_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, len(r.text or "")) for r in left), key=str) == sorted([(9, len(rows[5][1])), (None, 18), (7, 0), (None, 0)], key=str)

@@ -60,7 +60,34 @@ def test_containment_is_near_the_truth():
 def test_sketches_merge(spark):
     rows = [(1, "a b c d e f g h i j"), (2, "k l m n o p q r s t")]
     prints = sketches.fingerprints(table(spark, rows), fraction=1.0)
-    whole = sketches.merged(prints.withColumn("all", F.lit(1)), "all").first().hashes
+    whole = sketches.merged(prints.withColumn("all", F.lit(1)), "all", 1.0).first().hashes
     assert sorted(whole) == sorted(x for r in prints.collect() for x in r.hashes)
     one = sketches.fingerprints(table(spark, rows[:1]), fraction=1.0).first().hashes
     assert np.array_equal(np.sort(np.array(one)), np.array(sorted(one)))
+
+
+def _signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+@pytest.mark.parametrize("fraction", [0.25, 0.02, 0.75])
+def test_merged_sketch_is_that_of_the_union(spark, fraction):
+    r = random.Random(6)
+    pairs = [[" ".join(f"w{r.randrange(500)}" for _ in range(n)) for n in (4 + r.randrange(3), r.choice((3, 8, 60)))] for _ in range(120)]
+    rows = [(g, t) for g, p in enumerate(pairs) for t in p]
+    prints = sketches.fingerprints(table(spark, rows), fraction=fraction)
+    got = {x.id: x.hashes for x in sketches.merged(prints, "id", fraction).collect()}
+    for g, p in enumerate(pairs):
+        hashes = np.unique(np.concatenate([sketches.shingles(*sketches.words(*sketches.utf8(pa.array([t]))), sketches.WORDS)[0] for t in p]))
+        low = hashes[hashes < sketches._limit(fraction)]
+        assert got[g] == [_signed(int(x)) for x in (low if len(low) else hashes[:1])]
+
+
+def test_containment_of_columns(spark):
+    r = random.Random(7)
+    texts = ["a b c d e", "x", ""] + [" ".join(f"w{r.randrange(60)}" for _ in range(r.randrange(1, 90))) for _ in range(30)]
+    t = sketches.fingerprints(table(spark, list(enumerate(texts))))
+    found = t.alias("x").join(t.alias("y"), F.col("x.id") <= F.col("y.id")).select(F.col("x.id").alias("i"), F.col("y.id").alias("j"), sketches.contained(F.col("x.hashes"), F.col("y.hashes")).alias("c"))
+    own = sketches.sketch(pa.array(texts))
+    for row in found.collect():
+        assert row.c == sketches.containment(own[row.i], own[row.j])
