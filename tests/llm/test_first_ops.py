@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def corpus(seed=1, n=300):
 @pytest.mark.parametrize("keep,size", [("smallest", 32), ("largest", 32), ("largest", 1)])
 def test_exact_groups(spark, keep, size):
     rows = corpus()
-    got = exact_dedup.groups(table(spark, rows), keep=keep, memtable_rows=50, digest_bytes=size).collect()
+    got = exact_dedup.groups(table(spark, rows), keep=keep, memtable_rows=50, digest_bytes=size, slice_rows=3).collect()
     by = {}
     for i, t in rows:
         by.setdefault((t or "").translate(FOLD), []).append(i)
@@ -35,6 +36,20 @@ def test_exact_groups(spark, keep, size):
     assert sum(r.kept for r in got) == len(by)
 
 
+def test_filters_hold_all_hits(spark):
+    hits = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
+    made = exact_dedup._filters(spark.createDataFrame([(h,) for h in hits], "digest binary").repartition(5))
+
+    def passes(d):
+        f = made.get(d[0] % exact_dedup.FILTER_SHARDS)
+        at = exact_dedup._places([d], np.array([8 * len(f)]))[0]
+        return all(f[p >> 3] >> (p & 7) & 1 for p in at.tolist())
+
+    assert all(map(passes, hits))
+    others = [hashlib.sha256(f"other {i}".encode()).digest() for i in range(3000)]
+    assert sum(map(passes, others)) < 150
+
+
 def test_exact_rows_that_stay(spark):
     rows = corpus()
     got = exact_dedup.deduplicated(table(spark, rows)).collect()
