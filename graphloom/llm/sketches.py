@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_text, known_ids, lists, shown_ids, utf8
+from .common import chunks, id_text, known_ids, lists, shown_ids, text_hash, utf8
 from .shingles import shingles, words
 
 WORDS = 5
@@ -117,63 +117,78 @@ def contained(a: Column, b: Column, fraction: float = FRACTION) -> Column:
 
 
 def _firsts(rows: DataFrame) -> list[tuple[int, int]]:
-    """The first (id, row) of each range."""
-    keys = rows.select("id", "row")
+    """The first (id, h) of each range."""
+    keys = rows.select("id", "h")
     n = min(MOST_RANGES, max(1, keys.count() // ROWS_PER_RANGE))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = [min(zip(b.column("id").to_pylist(), b.column("row").to_pylist())) for b in batches if len(b)]
+        low = [min(zip(b.column("id").to_pylist(), b.column("h").to_pylist())) for b in batches if len(b)]
         if low:
-            i, r = min(low)
-            yield pa.record_batch({"id": pa.array([i], pa.int64()), "row": pa.array([r], pa.int64())})
+            i, h = min(low)
+            yield pa.record_batch({"id": pa.array([i], pa.int64()), "h": pa.array([h], pa.int64())})
 
-    return sorted((r.id, r.row) for r in keys.repartitionByRange(n, "id", "row").mapInArrow(first, "id long, row long").collect())
+    return sorted({(r.id, r.h) for r in keys.repartitionByRange(n, "id", "h").mapInArrow(first, "id long, h long").collect()})
 
 
 def with_next(df: DataFrame, make, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``make(batch, texts, following)`` of all rows in order of id (ties by their place in the table),
-    where ``following`` has the text of the next row for each; after the last comes the first.  Rows
-    with a null id (NO_ID for ``make``) come last.
+    """``make(batch, texts, following)`` of all rows in order of id (ties by a hash of the text), where
+    ``following`` has the text of the next row for each; after the last comes the first.  Rows with a
+    null id (NO_ID for ``make``) come last.
 
-    Rows are dealt to ranges of id and place, so that neither a repeated nor a null id fills one; the
-    first row of each range is also sent to the range before.  A task holds one batch and a row.  ``df``
-    is read twice and must give its rows in the same places, as files do.
+    Rows are dealt to ranges of id and hash, so that an id that many rows share is spread; rows that repeat
+    both are sent once by each batch, with their number.  The first row of each range is also sent to the
+    range before.  A task holds one batch and a row.
     """
-    rows = known_ids(id_text(df, id_col, text_col)).withColumn("row", F.monotonically_increasing_id())
+    rows = known_ids(id_text(df, id_col, text_col)).withColumn("h", text_hash("text"))
     begins = _firsts(rows)
     if not begins:
         return rows.limit(0).mapInArrow(lambda b: iter(()), schema)
-
-    names = ["range", "halo", "id", "row", "text"]
+    names = ["range", "halo", "id", "h", "times", "text"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = list(zip(b.column("id").to_pylist(), b.column("row").to_pylist()))
-            at = [bisect_right(begins, k) - 1 for k in keys]
-            data = [b.column("id"), b.column("row"), b.column("text")]
-            yield pa.record_batch([pa.array(at, pa.int64()), pa.array([False] * len(at)), *data], names=names)
-            edge = [i for i, k in enumerate(keys) if begins[at[i]] == k]
+            found: dict[tuple[int, int], list[int]] = {}
+            for i, key in enumerate(zip(b.column("id").to_pylist(), b.column("h").to_pylist())):
+                found.setdefault(key, [i, 0])[1] += 1
+            first, times = (list(x) for x in zip(*found.values())) if found else ([], [])
+            at = [bisect_right(begins, k) - 1 for k in found]
+            b = b.take(pa.array(first, pa.int64()))
+
+            def sent(to: list[int], halo: bool, which: list[int]) -> pa.RecordBatch:
+                own = b.take(pa.array(which, pa.int64()))
+                return pa.record_batch([pa.array(to, pa.int64()), pa.array([halo] * len(to), pa.bool_()), own.column("id"), own.column("h"), pa.array([1 if halo else times[i] for i in which], pa.int64()), own.column("text")], names=names)
+
+            yield sent(at, False, list(range(len(at))))
+            edge = [i for i, k in enumerate(found) if begins[at[i]] == k]
             if edge:
-                yield pa.record_batch([pa.array([(at[i] - 1) % len(begins) for i in edge], pa.int64()), pa.array([True] * len(edge)), *(c.take(pa.array(edge)) for c in data)], names=names)
+                yield sent([(at[i] - 1) % len(begins) for i in edge], True, edge)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int, str] | None = None
+        def made(out: list[tuple[int, str, str, int]]) -> pa.RecordBatch:
+            ids, texts, following, times = (list(x) for x in zip(*out))
+            return make(ids, texts, following).append_column("times", pa.array(times, pa.int64()))
+
+        held: tuple[int, bool, int, str] | None = None
         for b in batches:
-            out: list[tuple[int, str, str]] = []
+            out: list[tuple[int, str, str, int]] = []
             size = 0
-            for r, halo, i, text in zip(*(b.column(c).to_pylist() for c in ("range", "halo", "id", "text"))):
-                if held is not None and held[0] == r:
-                    out.append((held[1], held[2], text))
+            for r, halo, i, times, text in zip(*(b.column(c).to_pylist() for c in ("range", "halo", "id", "times", "text"))):
+                if held is not None and held[0] == r and not held[1]:
+                    out.append((held[2], held[3], text, 1))
+                    size += len(text)
+                if times > 1:
+                    out.append((i, text, text, times - 1))
                     size += len(text)
-                    if size > TOGETHER:
-                        yield make(*(list(x) for x in zip(*out)))
-                        out, size = [], 0
-                held = None if halo else (r, i, text)
+                if size > TOGETHER:
+                    yield made(out)
+                    out, size = [], 0
+                held = (r, halo, i, text)
             if out:
-                yield make(*(list(x) for x in zip(*out)))
+                yield made(out)
 
-    dealt = rows.mapInArrow(deal, "range long, halo boolean, id long, row long, text string")
-    return dealt.repartition("range").sortWithinPartitions("range", "halo", "id", "row").mapInArrow(pair, schema)
+    dealt = rows.mapInArrow(deal, "range long, halo boolean, id long, h long, times long, text string")
+    found = dealt.repartition("range").sortWithinPartitions("range", "halo", "id", "h").mapInArrow(pair, f"{schema}, times long")
+    return found.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("times")
 
 
 def edited(text: str, following: str) -> str:
@@ -187,7 +202,7 @@ def edit_study(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     next text: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null text counts as empty.  Rows with a null id come after all others; repeated ids are rows of their
-    own, in the order of the table.  A single row is its own next one.  An empty table gives no rows;
+    own, in the order of a hash of their texts.  A single row is its own next one.  An empty table gives no rows;
     other columns of ``df`` are not read.
     """
 
