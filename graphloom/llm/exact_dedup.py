@@ -142,7 +142,7 @@ def _filters(hits: DataFrame) -> dict[int, np.ndarray]:
     size = F.least(F.pow(2, F.ceil(F.log2(F.col("count") * BITS_PER_HIT))), F.lit(MOST_BITS // FILTER_SHARDS)).cast("long")
     sized = sharded.join(F.broadcast(counts.select("shard", F.greatest(size, F.lit(64)).alias("bits"))), "shard")  # FILTER_SHARDS rows
     # One row of bounded size for each shard.
-    return {r.shard: np.frombuffer(r.bits, np.uint8) for r in sized.repartition(FILTER_SHARDS, "shard").mapInArrow(run, "shard int, bits binary").collect()}
+    return {r.shard: np.frombuffer(r.bits, np.uint8) for r in sized.repartition("shard").mapInArrow(run, "shard int, bits binary").collect()}
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memtable_rows: int = 1 << 16, digest_bytes: int = 32, slice_rows: int = SLICE_ROWS) -> DataFrame:

@@ -248,7 +248,8 @@ def enhanced_suffix_array(data: np.ndarray, bounds: np.ndarray, least: int) -> t
     order = np.lexsort((np.minimum(left, h), word))
     new = np.ones(n, bool)
     new[1:] = (word[order[1:]] != word[order[:-1]]) | (left[order[1:]] < h) | (left[order[:-1]] < h)
-    slot = np.flatnonzero(new)
+    begins = new
+    slot = np.flatnonzero(begins)
     rank = np.empty(n, np.int32)
     rank[order] = np.repeat(slot, np.diff(np.append(slot, n)))
     levels = [(h, rank)]
@@ -268,7 +269,8 @@ def enhanced_suffix_array(data: np.ndarray, bounds: np.ndarray, least: int) -> t
         rank = rank.copy()
         rank[own] = np.repeat(first, np.diff(np.append(np.flatnonzero(differ), len(at))))
         levels.append((h, rank))
-        slot = np.union1d(slot, first)
+        begins[first] = True
+        slot = np.flatnonzero(begins)
     order = order[left[order] >= least]
     a, b = order[:-1], order[1:]
     same = np.zeros(len(a), np.int64)
