@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import drop_written, written
 
-__all__ = ["BROADCAST_ROWS", "NO_ID", "bounded", "chunks", "documents", "drop_written", "id_text", "kept", "known_ids", "lists", "release", "shown_ids", "small_batches", "text_hash", "utf8", "without", "written"]
+__all__ = ["BROADCAST_ROWS", "NO_ID", "bounded", "chunks", "documents", "drop_written", "forget", "id_text", "kept", "known_ids", "lists", "release", "shown_ids", "small_batches", "text_hash", "utf8", "without", "written"]
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -24,7 +24,18 @@ def kept(df: DataFrame) -> DataFrame:
     recomputed.  Tables with ids that Spark gives out, and loops, need :func:`written`; so do tables that are
     made from a kept one, as plans that hold each other grow large.
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    _kept.append(df.persist(StorageLevel.DISK_ONLY))
+    return _kept[-1]
+
+
+_kept: list[DataFrame] = []
+
+
+def forget() -> None:
+    """Free all that :func:`kept` holds.  Plans that still read it make it again."""
+    for df in _kept:
+        df.unpersist()
+    _kept.clear()
 
 
 #: Rows of a few numbers that may be broadcast (some tens of MB); larger sides are shuffled.

@@ -1,16 +1,17 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
 The model is one of character n-grams, counted over all trusted texts but a
-held-out fold.  A character has twelve bits (code points beyond are hashed into
-them), so an n-gram is a number and its context and its suffix are shifts and
-masks of it.  Counts, continuation counts and context totals are tables that
-are sharded by n-gram and joined to give interpolated probabilities.
-
-Each text is scored whole.  Where the model is counted to be small it is
-broadcast; else the distinct n-grams of a block of texts are joined with the
-model's shards, and the block is scored with what comes back.  A text is
-rejected if its perplexity is above a quantile of the perplexities of held-out
-trusted texts of its language and about its length.
+held-out fold.  A character has 21 bits, as many as a code point needs, so an
+n-gram is a pair of numbers (the first characters in ``hi``, the last three in
+``lo``) and its context and its suffix are shifts and masks of them.  Counts,
+continuation counts and context totals are tables that are sharded by n-gram
+and joined to give interpolated probabilities.
+
+Each text is scored whole, by the same joins at any size: texts are dealt to
+blocks of a number of bytes, the distinct n-grams of all blocks are joined with
+the model's shards, and each block is scored with what comes back for it.  A
+text is rejected if its perplexity is above a quantile of the perplexities of
+held-out trusted texts of its language and about its length.
 """
 
 from __future__ import annotations
@@ -22,17 +23,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, kept, release, small_batches, utf8, written
+from .common import bounded, chunks, kept, known_ids, release, small_batches, text_hash, utf8, without, written
+from .shingles import mix
 
 ORDER = 5
-BITS = 12
+BITS = 21
+#: Characters in the low number of a pair.
+LOW = 3
+_CHAR = (1 << BITS) - 1
 #: The probability below the unigrams: any of the characters that there can be.
 FLOOR = 1.0 / (1 << BITS)
-#: Entries of a model that is broadcast, at most (some 50 MB); larger ones are joined by shard.
-BROADCAST_ENTRIES = 4_000_000
-CHUNK = 1 << 19
-#: Rows of one block, where blocks are joined with a model's shards.
-BLOCK_ROWS = 5000
+#: Characters whose n-grams are made at once.
+CHUNK = 1 << 18
+#: Bytes of the texts of one block, on average.  A task holds a block and a number for each of its distinct n-grams.
+BLOCK_BYTES = 16 << 20
 QUANTILE = 0.995
 #: A held-out text may be above its quantile by this part.
 SLACK = 1.08
@@ -43,63 +47,97 @@ LONGEST_BIN = 31
 START, END = 2, 3
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of order ORDER that end at each character and at the end of each text, and the
-    first of each text (with the end).  Texts begin with START characters."""
+def pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Code points, some CHUNK at once, with what comes before a text and after it; the places where an
+    n-gram of order ORDER ends (one for each character and for the end of each text); and its text."""
+    held, size = [], 0
     pad = "\x02" * (ORDER - 1)
-    points = np.frombuffer("".join([f"{pad}{t}\x03" for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    points = np.where(points < 1 << BITS, points, (points * 2_654_435_761 >> 7) % (1 << BITS))
-    sizes = np.array([len(t) + ORDER for t in texts], np.int64)
-    key = points.copy()
-    for n in range(1, ORDER):
-        key[n:] += points[:-n] << (BITS * n)
-    begin = np.cumsum(sizes) - sizes
-    inner = np.arange(len(points)) - np.repeat(begin, sizes)
-    bounds = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(sizes - (ORDER - 1), out=bounds[1:])
-    return key[inner >= ORDER - 1], bounds
 
+    def made() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        points = np.frombuffer("".join([x for _, x in held]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.array([len(x) for _, x in held], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        inner = np.arange(len(points)) - np.repeat(begin, sizes)
+        ends = np.flatnonzero(inner >= ORDER - 1)
+        return points, ends, np.repeat([k for k, _ in held], sizes)[ends]
+
+    for k, t in enumerate(texts):
+        t = f"{pad}{t}\x03"
+        for at in range(0, len(t) - (ORDER - 1), CHUNK):  # parts of a long text overlap by an n-gram's context
+            part = t[at : at + CHUNK + ORDER - 1]
+            held.append((k, part))
+            size += len(part)
+            if size >= CHUNK:
+                yield made()
+                held, size = [], 0
+    if held:
+        yield made()
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of a task with their counts."""
-    keys, counts, held = [], [], 0
 
-    def merge() -> tuple[np.ndarray, np.ndarray]:
-        k, n = np.concatenate(keys), np.concatenate(counts)
-        u, at = np.unique(k, return_inverse=True)
-        return u, np.bincount(at, weights=n, minlength=len(u)).astype(np.int64)
+def pairs(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end at ``ends``: hi and lo."""
+    lo = points[ends] | points[ends - 1] << BITS | points[ends - 2] << 2 * BITS
+    return points[ends - 3] | points[ends - 4] << BITS, lo
+
+
+def distinct(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams (hi, lo) that end at ``ends``, and how often they are there."""
+    known, local = np.unique(points, return_inverse=True)
+    bits = max(1, int(len(known) - 1).bit_length())
+    if bits * ORDER > 63:  # more than 4096 different characters in a part
+        hi, lo = pairs(points, ends)
+        return merged(hi, lo, np.ones(len(hi), np.int64))
+    key = np.zeros(len(ends), np.int64)
+    for k in range(ORDER):
+        key |= local[ends - k] << bits * k
+    key, n = np.unique(key, return_counts=True)
+    c = [known[(key >> bits * k) & ((1 << bits) - 1)] for k in range(ORDER)]
+    return c[3] | c[4] << BITS, c[0] | c[1] << BITS | c[2] << 2 * BITS, n
+
 
+def merged(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, with the sum of its numbers."""
+    order = np.lexsort((lo, hi))
+    hi, lo, n = hi[order], lo[order], n[order]
+    new = np.ones(len(hi), bool)
+    new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    first = np.flatnonzero(new)
+    return hi[first], lo[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of parts of texts with their counts, which are added up before and after the shuffle."""
     for b in batches:
         _, off = utf8(b.column("text"))
         for i, j in chunks(off, CHUNK):
-            k, n = np.unique(ngrams(b.column("text").slice(i, j - i).to_pylist())[0], return_counts=True)
-            keys.append(k)
-            counts.append(n)
-            held += len(k)
-            if held > 1_000_000:
-                k, n = merge()
-                keys, counts, held = [k], [n], len(k)
-                if held > 800_000:
-                    yield pa.record_batch({"key": pa.array(k), "n": pa.array(n)})
-                    keys, counts, held = [], [], 0
-    if held:
-        k, n = merge()
-        keys, counts = [], []
-        yield pa.record_batch({"key": pa.array(k), "n": pa.array(n)})
+            for points, ends, _ in pieces(b.column("text").slice(i, j - i).to_pylist()):
+                hi, lo, n = distinct(points, ends)
+                yield pa.record_batch({"hi": pa.array(hi), "lo": pa.array(lo), "n": pa.array(n, pa.int64())})
     release()
 
 
-def _suffix(order: int) -> Column:
-    return F.col("key").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
+def _last(chars: int, hi: str = "hi", lo: str = "lo") -> list[Column]:
+    """hi, lo of the last ``chars`` characters of an n-gram."""
+    high = F.col(hi).bitwiseAND(F.lit((1 << BITS * (chars - LOW)) - 1)) if chars > LOW else F.lit(0).cast("long")
+    low = F.col(lo) if chars >= LOW else F.col(lo).bitwiseAND(F.lit((1 << BITS * chars) - 1))
+    return [high.cast("long"), low.cast("long")]
+
+
+def _before(hi: str = "hi", lo: str = "lo") -> list[Column]:
+    """hi, lo of an n-gram without its last character."""
+    low = F.shiftrightunsigned(lo, BITS).bitwiseOR(F.shiftleft(F.col(hi).bitwiseAND(F.lit(_CHAR)), BITS * (LOW - 1)))
+    return [F.shiftright(hi, BITS), low]
 
 
 def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Model tables of the column ``text``: probabilities (n, key, p) of all n-grams seen, and weights
-    of what is below (n, context, rest) of all contexts seen."""
-    tables = {ORDER: written(texts.select("text").mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "ngrams")}
+    """Model tables of the column ``text``: probabilities (n, hi, lo, p) of all n-grams seen, and weights
+    of what is below (n, hi, lo, rest) of all contexts seen."""
+    counts = texts.select("text").mapInArrow(_counted, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+    tables = {ORDER: kept(counts)}
     for order in range(ORDER - 1, 0, -1):
         # Continuation counts: in how many different ways an n-gram is preceded.
-        tables[order] = written(tables[order + 1].groupBy(_suffix(order + 1).alias("key")).agg(F.count("*").alias("n")), "ngrams")
+        hi, lo = _last(order)
+        tables[order] = kept(tables[order + 1].groupBy(hi.alias("hi"), lo.alias("lo")).agg(F.count("*").alias("n")))
     lower: DataFrame | None = None
     grams, contexts = [], []
     for order in range(1, ORDER + 1):
@@ -107,22 +145,27 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         many = {r["n"]: r["count"] for r in t.where("n <= 4").groupBy("n").count().collect()}
         d = discounts([many.get(k, 0) for k in (1, 2, 3, 4)])
         off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        t = t.withColumn("context", F.shiftright("key", BITS)).withColumn("off", F.least(off, F.col("n")))
-        sums = t.groupBy("context").agg(F.sum("n").alias("total"), F.sum("off").alias("taken"))
-        contexts.append(sums.select(F.lit(order).alias("n"), "context", (F.col("taken") / F.col("total")).alias("rest")))
-        t = t.join(sums, "context").withColumn("below", _suffix(order))
+        c_hi, c_lo = _before()
+        t = t.withColumns({"c_hi": c_hi, "c_lo": c_lo, "off": F.least(off, F.col("n"))})
+        sums = t.groupBy("c_hi", "c_lo").agg(F.sum("n").alias("total"), F.sum("off").alias("taken"))
+        contexts.append(sums.select(F.lit(order).alias("n"), F.col("c_hi").alias("hi"), F.col("c_lo").alias("lo"), (F.col("taken") / F.col("total")).alias("rest")))
+        t = t.join(sums, ["c_hi", "c_lo"])
         if lower is None:
             below = F.lit(FLOOR)
         else:
-            t, below = t.join(lower, "below"), F.col("p_below")
+            b_hi, b_lo = _last(order - 1)
+            t, below = t.withColumns({"b_hi": b_hi, "b_lo": b_lo}).join(lower, ["b_hi", "b_lo"]), F.col("p_below")
         p = (F.col("n") - F.col("off")) / F.col("total") + F.col("taken") / F.col("total") * below
-        done = written(t.select("key", p.alias("p")), "probabilities")
-        lower = done.select(F.col("key").alias("below"), F.col("p").alias("p_below"))
-        grams.append(done.select(F.lit(order).alias("n"), "key", "p"))
+        done = written(t.select("hi", "lo", p.alias("p")), "probabilities")
+        lower = done.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), F.col("p").alias("p_below"))
+        grams.append(done.select(F.lit(order).alias("n"), "hi", "lo", "p"))
     all_grams, all_contexts = grams[0], contexts[0]
     for g, c in zip(grams[1:], contexts[1:]):
         all_grams, all_contexts = all_grams.unionByName(g), all_contexts.unionByName(c)
-    return all_grams, written(all_contexts, "contexts")
+    all_contexts = written(all_contexts, "contexts")
+    for t in tables.values():
+        t.unpersist()
+    return all_grams, all_contexts
 
 
 def discounts(many: list[int]) -> list[float]:
@@ -136,151 +179,128 @@ def discounts(many: list[int]) -> list[float]:
     return [min(max(v, 0.05), k + 0.95) for k, v in enumerate(out)]
 
 
+def _number(hi: np.ndarray, lo: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(hi.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed) + mix(lo))
+
+
 class Table:
-    """Values by 64-bit key, looked up for many keys at once."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, min(23, int(len(keys) * 3).bit_length()))
-        slot = self._slot(keys)
-        order = np.argsort(slot, kind="stable")
-        self.keys, self.values = np.append(keys[order], -1), np.append(values[order], 0).astype(np.float32)
-        counts = np.bincount(slot, minlength=1 << self.bits)
-        self.first = np.zeros((1 << self.bits) + 1, np.int32)
-        np.cumsum(counts, out=self.first[1:])
-        self.most = int(counts.max(initial=0))
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The values; NaN for keys that are not there."""
-        out = np.full(len(keys), np.nan, np.float32)
-        slot = self._slot(keys)
-        at, end = self.first[slot], self.first[slot + 1]
-        rows = np.flatnonzero(at < end)
-        at, end = at[rows], end[rows]
-        for _ in range(self.most):
-            if not len(rows):
+    """A value for each of a block's n-grams, all that are ever asked for.
+
+    They are told apart by a 64-bit number, for which a seed is chosen that gives each its own.
+    """
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, values: np.ndarray):
+        for self.seed in range(64):
+            number = _number(hi, lo, self.seed)
+            order = np.argsort(number, kind="stable")
+            self.numbers, self.values = number[order], values[order]
+            if not (self.numbers[1:] == self.numbers[:-1]).any():
                 break
-            same = self.keys[at] == keys[rows]
-            out[rows[same]] = self.values[at[same]]
-            at = at + 1
-            more = ~same & (at < end)
-            rows, at, end = rows[more], at[more], end[more]
-        return out
-
-
-class Scorer:
-    """Log probabilities of n-grams from a whole model."""
-
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]]):
-        self.grams = [Table(k, np.log(v)) for k, v in grams]
-        self.contexts = [Table(k, np.log(v)) for k, v in contexts]
-
-    def logs(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.float64)
-        rows, k = np.arange(len(keys)), keys
-        for order in range(ORDER, 0, -1):
-            p = self.grams[order - 1].get(k)
-            seen = ~np.isnan(p)
-            out[rows[seen]] += p[seen]
-            rows, k = rows[~seen], k[~seen]
-            if not len(rows):
-                return out
-            rest = self.contexts[order - 1].get(k >> BITS)
-            out[rows] += np.where(np.isnan(rest), 0, rest)
-            k = k & ((1 << (BITS * (order - 1))) - 1)
-        out[rows] += np.log(FLOOR)
-        return out
-
-
-def _perplexity(logs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.add.reduceat(logs, bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
-    return np.exp(-total / np.diff(bounds))
-
-
-def scored(df: DataFrame, grams: DataFrame, contexts: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_ENTRIES) -> DataFrame:
-    """One row per row of ``df``: id, chars and perplexity (per character, the end of the text
-    included; null for null or blank text)."""
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    schema = "id long, chars long, perplexity double"
-    blank = F.trim(F.coalesce(F.col("text"), F.lit(""))) == ""
-    none = rows.where(blank).select("id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), F.lit(None).cast("double").alias("perplexity"))
-    rows = rows.where(~blank)
-    if grams.count() + contexts.count() <= most:
-        return _scored_here(rows, grams, contexts, schema).unionByName(none)
-    return _scored_in_blocks(rows, grams, contexts, schema).unionByName(none)
-
-
-def _scored_here(rows: DataFrame, grams: DataFrame, contexts: DataFrame, schema: str) -> DataFrame:
-    def arrays(t: DataFrame, key: str, value: str) -> list[tuple[np.ndarray, np.ndarray]]:
-        got = t.select("n", key, value).toArrow()
-        n, k, v = (got.column(c).to_numpy() for c in ("n", key, value))
-        return [(k[n == o], v[n == o].astype(np.float64)) for o in range(1, ORDER + 1)]
-
-    sent = rows.sparkSession.sparkContext.broadcast((arrays(grams, "key", "p"), arrays(contexts, "context", "rest")))
-    made: list[Scorer] = []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Scorer(*sent.value))
-        for b in batches:
-            _, off = utf8(b.column("text"))
-            for i, j in chunks(off, CHUNK):
-                part = b.slice(i, j - i)
-                keys, bounds = ngrams(part.column("text").to_pylist())
-                yield pa.record_batch({"id": part.column("id"), "chars": pa.array(np.diff(bounds) - 1), "perplexity": pa.array(_perplexity(made[0].logs(keys), bounds))})
-        made.clear()
-        release()
-
-    return rows.mapInArrow(run, schema)
-
-
-def _scored_in_blocks(rows: DataFrame, grams: DataFrame, contexts: DataFrame, schema: str) -> DataFrame:
-    blocks = max(1, rows.count() // BLOCK_ROWS)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            block = b.column("block").to_numpy()
-            _, off = utf8(b.column("text"))
-            for i, j in chunks(off, CHUNK):
-                keys, bounds = ngrams(b.column("text").slice(i, j - i).to_pylist())
-                pairs = np.unique(np.stack([np.repeat(block[i:j], np.diff(bounds)), keys], axis=1), axis=0)
-                yield pa.record_batch({"block": pa.array(pairs[:, 0]), "key": pa.array(pairs[:, 1])})
-
-    wanted = dealt.mapInArrow(distinct, "block long, key long").distinct()
-    known = resolved(wanted.select("key").distinct(), grams, contexts)
-    per_block = wanted.join(known, "key")
-
-    def score(key, texts: pa.Table, table: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "chars": pa.array([], pa.int64()), "perplexity": pa.array([], pa.float64())})
-        k, v = table.column("key").to_numpy(), table.column("log_p").to_numpy()
-        order = np.argsort(k)
-        k, v = k[order], v[order]
-        out = []
-        for b in texts.to_batches():
-            _, off = utf8(b.column("text"))
-            for i, j in chunks(off, CHUNK):
-                keys, bounds = ngrams(b.column("text").slice(i, j - i).to_pylist())
-                out.append(pa.table({"id": b.column("id").slice(i, j - i), "chars": pa.array(np.diff(bounds) - 1), "perplexity": pa.array(_perplexity(v[np.searchsorted(k, keys)], bounds))}))
-        return pa.concat_tables(out)
-
-    return dealt.groupBy("block").cogroup(per_block.groupBy("block")).applyInArrow(score, schema)
+        # Where to begin: by the first bits of the number.
+        self.bits = max(1, int(len(hi)).bit_length())
+        self.first = np.searchsorted(self.numbers, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+
+    def get(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        number = _number(hi, lo, self.seed)
+        at = self.first[(number >> np.uint64(64 - self.bits)).astype(np.int64)]
+        more = np.flatnonzero(self.numbers[at] != number)
+        while len(more):
+            at[more] += 1
+            more = more[self.numbers[at[more]] != number[more]]
+        return self.values[at]
+
+
+def blank(text: Column) -> Column:
+    """Whether a text is null or has nothing but ASCII white space."""
+    return ~F.coalesce(text, F.lit("")).rlike("[^ \\t-\\r]")
+
+
+def scored(df: DataFrame, grams: DataFrame, contexts: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of ``df``: id, h (a hash of the text), chars and perplexity (per character, the end of
+    the text included; null for a text that is null or has nothing but ASCII white space).
+
+    Rows are dealt to blocks by their place in the table, so repeated rows and null ids are spread.
+    """
+    small_batches(df)
+    text = F.col(f"`{text_col}`")
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_hash(text_col).alias("h"), F.coalesce(text, F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    none = rows.where(blank(F.col("text"))).select("id", "h", F.length("text").cast("long").alias("chars"), F.lit(None).cast("double").alias("perplexity"))
+    total = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    blocks = max(1, total // block_bytes)
+    dealt = rows.where(~blank(F.col("text"))).select("id", "h", "text", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
+    wanted = kept(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_of_blocks, "block int, hi long, lo long"))
+    known = resolved(wanted.select("hi", "lo").distinct(), grams, contexts)
+    per_block = wanted.join(known, ["hi", "lo"])
+    found = dealt.groupBy("block").cogroup(per_block.groupBy("block")).applyInArrow(_scored_block, "id long, h long, chars long, perplexity double")
+    return found.unionByName(none)
+
+
+def _of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each block, of rows in order of block."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size, now = 0, None
+
+    def told() -> pa.RecordBatch:
+        hi, lo, _ = merged(*(np.concatenate(x) for x in zip(*held)))
+        return pa.record_batch({"block": pa.array(np.full(len(hi), now), pa.int32()), "hi": pa.array(hi), "lo": pa.array(lo)})
+
+    for b in batches:
+        block = b.column("block").to_numpy()
+        cut = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        for i, j in zip(cut, cut[1:]):
+            if i == j:
+                continue
+            if held and block[i] != now:
+                yield told()
+                held, size = [], 0
+            now = int(block[i])
+            for points, ends, _ in pieces(b.column("text").slice(i, j - i).to_pylist()):
+                held.append(distinct(points, ends))
+                size += len(held[-1][0])
+                if size > 1_000_000 and len(held) > 1:
+                    held = [merged(*(np.concatenate(x) for x in zip(*held)))]
+                    size = len(held[0][0]) // 2
+    if held:
+        yield told()
+    held = []
+    release()
+
+
+def _scored_block(texts: pa.Table, known: pa.Table) -> pa.Table:
+    if not texts.num_rows:
+        return pa.table({"id": pa.array([], pa.int64()), "h": pa.array([], pa.int64()), "chars": pa.array([], pa.int64()), "perplexity": pa.array([], pa.float64())})
+    table = Table(known.column("hi").to_numpy(), known.column("lo").to_numpy(), known.column("log_p").to_numpy())
+    chars, total = [], []
+    for b in texts.to_batches():
+        _, off = utf8(b.column("text"))
+        for i, j in chunks(off, CHUNK):
+            n, logs = np.zeros(j - i, np.int64), np.zeros(j - i)
+            for points, ends, row in pieces(b.column("text").slice(i, j - i).to_pylist()):
+                n += np.bincount(row, minlength=j - i)
+                logs += np.bincount(row, weights=table.get(*pairs(points, ends)), minlength=j - i)
+            chars.append(n - 1)
+            total.append(logs / n)
+    release()
+    return pa.table({"id": texts.column("id"), "h": texts.column("h"), "chars": pa.array(np.concatenate(chars)), "perplexity": pa.array(np.exp(-np.concatenate(total)))})
 
 
 def resolved(wanted: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
-    """key, log_p of n-grams of order ORDER: joins with the model's shards from the longest n-gram down."""
-    at = wanted.select("key", F.col("key").alias("k"), F.lit(0.0).alias("log_p"), F.lit(False).alias("found"))
+    """hi, lo, log_p of n-grams of order ORDER: joins with the model's shards from the longest n-gram down,
+    each with those that no longer one has."""
+    at = wanted.select("hi", "lo", F.col("hi").alias("k_hi"), F.col("lo").alias("k_lo"), F.lit(0.0).alias("log_p"))
+    done: DataFrame | None = None
     for order in range(ORDER, 0, -1):
-        g = grams.where(F.col("n") == order).select(F.col("key").alias("g_key"), "p")
-        c = contexts.where(F.col("n") == order).select("context", "rest")
-        at = at.join(g, F.col("k") == F.col("g_key"), "left").join(c, F.shiftright("k", BITS) == F.col("context"), "left")
-        hit = ~F.col("found") & F.col("p").isNotNull()
-        step = F.when(F.col("found"), 0.0).when(hit, F.log("p")).otherwise(F.coalesce(F.log("rest"), F.lit(0.0)))
-        at = at.select("key", F.col("k").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1)).alias("k"), (F.col("log_p") + step).alias("log_p"), (F.col("found") | hit).alias("found"))
-    return at.select("key", F.when(F.col("found"), F.col("log_p")).otherwise(F.col("log_p") + float(np.log(FLOOR))).alias("log_p"))
+        g = grams.where(F.col("n") == order).select(F.col("hi").alias("k_hi"), F.col("lo").alias("k_lo"), "p")
+        c = contexts.where(F.col("n") == order).select(F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), "rest")
+        tried = kept(at.join(g, ["k_hi", "k_lo"], "left"))
+        found = tried.where("p is not null").select("hi", "lo", (F.col("log_p") + F.log("p")).alias("log_p"))
+        done = found if done is None else done.unionByName(found)
+        c_hi, c_lo = _before("k_hi", "k_lo")
+        left = tried.where("p is null").withColumns({"c_hi": c_hi, "c_lo": c_lo}).join(c, ["c_hi", "c_lo"], "left")
+        s_hi, s_lo = _last(order - 1, "k_hi", "k_lo") if order > 1 else (F.lit(0).cast("long"), F.lit(0).cast("long"))
+        at = left.select("hi", "lo", s_hi.alias("k_hi"), s_lo.alias("k_lo"), (F.col("log_p") + F.coalesce(F.log("rest"), F.lit(0.0))).alias("log_p"))
+    return done.unionByName(at.select("hi", "lo", (F.col("log_p") + float(np.log(FLOOR))).alias("log_p")))
 
 
 def quantiles(held: DataFrame, quantile: float) -> DataFrame:
@@ -306,29 +326,36 @@ def quantiles(held: DataFrame, quantile: float) -> DataFrame:
     return written(pools.join(cuts, [*by, "lo", "hi"]).select(*by, F.col("target").alias("bin"), "cut"), "quantiles")
 
 
-def classified(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, most: int = BROADCAST_ENTRIES) -> DataFrame:
+def classified(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``df``: id, lang, perplexity, threshold and kept.
 
     Trusted are the texts whose id is in ``labels`` (doc_id, quality, toxic) with quality 1 and not
     toxic in all rows there are for it.  Three quarters of them (by a hash of the id) are counted, all
     of each; the rest give the quantiles of each language and length (in powers of two), with the lengths
     nearest to it where there are too few.  A language without such texts has the quantiles of all
-    languages about its texts' lengths.  A null language is one of its own.  Null and blank
-    texts are rejected; without trusted texts all others are kept.  Repeated rows get equal results; an
+    languages about its texts' lengths.  A null language is one of its own, and so is that of a row
+    without an id; rows that repeat an id have its first language.  Texts that are null or have nothing but ASCII
+    white space are rejected; without trusted texts all others are kept.  Repeated rows get equal results; an
     empty table gives no rows.
     """
+    return _classified(df, labels, id_col, text_col, lang_col, quantile, slack, block_bytes).drop("h")
+
+
+def _classified(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float = QUANTILE, slack: float = SLACK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """As :func:`classified`, with h, a hash of the text."""
     small_batches(df)
     good = labels.groupBy(F.col("doc_id").cast("long").alias("good")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select("good")
     good = bounded(written(good, "trusted"))
     fold = F.pmod(F.xxhash64("good", F.lit(29)), F.lit(4))
     ids = F.col(f"`{id_col}`").cast("long")
     text = F.col(f"`{text_col}`")
-    trusted = df.where(text.isNotNull() & (F.trim(text) != "")).select(ids.alias("id"), text.alias("text")).join(good, F.col("id") == F.col("good")).where(fold > 0)
+    trusted = df.where(~blank(text)).select(ids.alias("id"), text.alias("text")).join(good, F.col("id") == F.col("good")).where(fold > 0)
     grams, contexts = train(trusted)
-    found = kept(scored(df, grams, contexts, id_col, text_col, most))
-    langs = df.select(ids.alias("id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang")).groupBy("id").agg(F.min("lang").alias("lang"))
-    # A null id has no language of its own.
-    sized = found.join(langs, "id", "left").withColumn("lang", F.coalesce("lang", F.lit(""))).withColumn("bin", F.floor(F.log2(F.col("chars") + 1)).cast("int"))
+    found = kept(scored(df, grams, contexts, id_col, text_col, block_bytes))
+    langs = df.where(ids.isNotNull()).groupBy(ids.alias("id")).agg(F.min(F.coalesce(F.col(f"`{lang_col}`"), F.lit(""))).alias("lang"))
+    # A null id has no language of its own, and no partner to wait for.
+    sized = found.where("id is not null").join(langs, "id", "left").unionByName(found.where("id is null").withColumn("lang", F.lit("")))
+    sized = sized.withColumn("bin", F.floor(F.log2(F.col("chars") + 1)).cast("int"))
     held = sized.join(good, F.col("id") == F.col("good")).where((fold == 0) & F.col("perplexity").isNotNull())
     cuts = quantiles(written(held.select("lang", "bin", "perplexity"), "held-out"), quantile)
     fine = F.broadcast(cuts.where("own").select("lang", "bin", F.col("cut").alias("fine")))
@@ -336,11 +363,11 @@ def classified(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     out = sized.join(fine, ["lang", "bin"], "left").join(overall, "bin", "left")
     threshold = F.coalesce("fine", "all") * slack
     out = out.withColumn("threshold", threshold)
-    return out.select("id", "lang", "perplexity", "threshold", (F.col("perplexity").isNotNull() & ((F.col("perplexity") <= F.col("threshold")) | F.col("threshold").isNull())).alias("kept"))
+    return out.select("id", "h", "lang", "perplexity", "threshold", (F.col("perplexity").isNotNull() & ((F.col("perplexity") <= F.col("threshold")) | F.col("threshold").isNull())).alias("kept"))
 
 
 def filtered(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of ``df`` that are kept, with all their columns.  Where rows with different texts
-    share an id, all go if one is rejected."""
-    gone = classified(df, labels, id_col, text_col, lang_col, **options).where(~F.col("kept")).select(F.col("id").alias("__gone")).distinct()
-    return df.join(bounded(written(gone, "rejected")), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``df`` that are kept, with all their columns.  Rows are matched by id (null as well) and
+    text, so others that share an id are as they were.  An empty table gives no rows."""
+    gone = known_ids(_classified(df, labels, id_col, text_col, lang_col, **options).where(~F.col("kept"))).select("id", "h").distinct()
+    return without(df, written(gone, "rejected"), id_col, text_col)

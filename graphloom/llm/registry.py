@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, forget
 
 
 def tokenizer(name: str) -> str:
@@ -166,8 +167,19 @@ FROM e GROUP BY conv_id
 """
 
 
+def _alone(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after what earlier ones kept on executors' disks has been freed."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        forget()
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_sharding": op1_sharding,
         "op2_fingerprints": op2_fingerprints,
         "op3_jaccard_join": op3_jaccard_join,
@@ -180,6 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_dedup": op10_exact_dedup,
         "pipeline": pipeline,
     }
+    return {name: _alone(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -80,35 +80,35 @@ def kneser_ney(texts):
     return perplexity
 
 
-@pytest.mark.parametrize("most", [10**6, 0])
-def test_perplexity(spark, monkeypatch, most):
-    monkeypatch.setattr(quality, "BLOCK_ROWS", 7)
+@pytest.mark.parametrize("chunk,block", [(1 << 18, 1 << 24), (50, 3000)])
+def test_perplexity(spark, monkeypatch, chunk, block):
+    monkeypatch.setattr(quality, "CHUNK", chunk)
     r = random.Random(2)
     train = [prose(r, "en", 30) for _ in range(40)]
-    new = train[:3] + [prose(r, "fr", 10), "the", "日本語", "\U0001f600 the", "the ing " * 20_000, "x"]
+    new = train[:3] + [prose(r, "fr", 10), "the", "日本語", "\U0001f600 the", "the ing " * 20_000, "x", "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(9000)), "\u1234", "\u5678"]
     want = kneser_ney(train)
     grams, contexts = quality.train(documents(spark, [(i, t, "en") for i, t in enumerate(train)]))
-    rows = [(i, t, "en") for i, t in enumerate(new)] + [(90, None, None), (91, " ", "en")]
-    got = {x.id: x for x in quality.scored(documents(spark, rows), grams, contexts, most=most).collect()}
+    rows = [(i, t, "en") for i, t in enumerate(new)] + [(90, None, None), (91, " \n\t", "en"), (0, new[0], "en"), (None, new[0], None)]
+    got = {x.id: x for x in quality.scored(documents(spark, rows), grams, contexts, block_bytes=block).collect()}
     for i, t in enumerate(new):
-        t = "".join(c if ord(c) < 4096 else chr((ord(c) * 2_654_435_761 >> 7) % 4096) for c in t)
-        assert got[i].perplexity == pytest.approx(want(t), rel=1e-4), t[:20]
-    assert got[90].perplexity is None and got[91].perplexity is None and len(got) == len(rows)
+        assert got[i].perplexity == pytest.approx(want(t), rel=1e-9), t[:20]
+        assert got[i].chars == len(t)
+    assert got[90].perplexity is None and got[91].perplexity is None and len(got) == len(rows) - 1
+    assert got[None].perplexity == got[0].perplexity
 
 
 def test_probabilities_sum_to_one(spark):
     r = random.Random(3)
     train = [prose(r, "en", 30) for _ in range(30)]
     grams, contexts = quality.train(documents(spark, [(i, t, "en") for i, t in enumerate(train)]))
-    g = [(x.n, x.key, x.p) for x in grams.collect()]
-    rest = {(x.n, x.context): x.rest for x in contexts.collect()}
-    p = {(n, k): v for n, k, v in g}
-    for context in [k for n, k in rest if n == 3][:20]:
-        seen = [k for n, k in p if n == 3 and k >> quality.BITS == context]
-        low = {k & 0xFFF for k in seen}
-        mask = (1 << 2 * quality.BITS) - 1
-        unseen = 1 - sum(p[(2, k & mask)] for k in seen)
-        assert sum(p[(3, k)] for k in seen) + rest[(3, context)] * unseen == pytest.approx(1, abs=1e-6) and low
+    p = {(x.n, x.hi << 63 | x.lo): x.p for x in grams.collect()}
+    rest = {(x.n, x.hi << 63 | x.lo): x.rest for x in contexts.collect()}
+    for order in (3, 5):
+        mask = (1 << (order - 1) * quality.BITS) - 1
+        for context in [k for n, k in rest if n == order][:20]:
+            seen = [k for n, k in p if n == order and k >> quality.BITS == context]
+            unseen = 1 - sum(p[(order - 1, k & mask)] for k in seen)
+            assert seen and sum(p[(order, k)] for k in seen) + rest[(order, context)] * unseen == pytest.approx(1, abs=1e-6)
 
 
 def test_classified(spark):
