@@ -36,7 +36,7 @@ FLOOR = 1.0 / (1 << BITS)
 #: Characters whose n-grams are made at once.
 CHUNK = 1 << 18
 #: Bytes of the texts of one block, on average.  A task holds a block and a number for each of its distinct n-grams.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 QUANTILE = 0.995
 #: A held-out text may be above its quantile by this part.
 SLACK = 1.08
