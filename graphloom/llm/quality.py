@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, kept, known_ids, release, small_batches, text_hash, utf8, without, written
+from .common import bounded, chunks, kept, known_ids, lists, release, small_batches, text_hash, utf8, without, written
 from .shingles import mix
 
 ORDER = 5
@@ -35,8 +35,9 @@ _CHAR = (1 << BITS) - 1
 FLOOR = 1.0 / (1 << BITS)
 #: Characters whose n-grams are made at once.
 CHUNK = 1 << 18
-#: Bytes of the texts of one block, on average.  A task holds a block and a number for each of its distinct n-grams.
-BLOCK_BYTES = 8 << 20
+#: Bytes of the texts of one block, on average, before they are compressed.  A task holds a compressed block and a number for
+#: each of its distinct n-grams.
+BLOCK_BYTES = 32 << 20
 QUANTILE = 0.995
 #: A held-out text may be above its quantile by this part.
 SLACK = 1.08
@@ -220,22 +221,44 @@ def scored(df: DataFrame, grams: DataFrame, contexts: DataFrame, id_col: str = "
     """One row per row of ``df``: id, h (a hash of the text), chars and perplexity (per character, the end of
     the text included; null for a text that is null or has nothing but ASCII white space).
 
-    Rows are dealt to blocks by their place in the table, so repeated rows and null ids are spread.
+    Rows go to blocks by batches, whatever their ids and texts are, so repeated rows and null ids are spread.
+    The texts of a batch travel compressed.
     """
     small_batches(df)
     text = F.col(f"`{text_col}`")
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_hash(text_col).alias("h"), F.coalesce(text, F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_hash(text_col).alias("h"), F.coalesce(text, F.lit("")).alias("text"))
     none = rows.where(blank(F.col("text"))).select("id", "h", F.length("text").cast("long").alias("chars"), F.lit(None).cast("double").alias("perplexity"))
     total = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     blocks = max(1, total // block_bytes)
-    dealt = rows.where(~blank(F.col("text"))).select("id", "h", "text", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
-    wanted = kept(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_of_blocks, "block int, hi long, lo long"))
+    units = rows.where(~blank(F.col("text"))).mapInArrow(_units, "ids array<long>, hs array<long>, ends array<long>, size long, texts binary")
+    dealt = units.withColumn("block", F.pmod(F.xxhash64("ids", "hs"), F.lit(blocks)).cast("int"))
+    wanted = written(dealt.select("block", "ends", "size", "texts").repartition("block").sortWithinPartitions("block").mapInArrow(_of_blocks, "block int, hi long, lo long"), "block-ngrams")
     known = resolved(wanted.select("hi", "lo").distinct(), grams, contexts)
     per_block = wanted.join(known, ["hi", "lo"])
     found = dealt.groupBy("block").cogroup(per_block.groupBy("block")).applyInArrow(_scored_block, "id long, h long, chars long, perplexity double")
     return found.unionByName(none)
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as a row: ids and hashes, and the texts, compressed, with the end and size of each."""
+    for b in batches:
+        if b.num_rows:
+            data, off = utf8(b.column("text"))
+            raw = pa.compress(data.tobytes(), "zstd", asbytes=True)
+            one = np.array([b.num_rows])
+            yield pa.record_batch({"ids": pa.array([b.column("id").to_pylist()], pa.list_(pa.int64())), "hs": pa.array([b.column("h").to_pylist()], pa.list_(pa.int64())), "ends": lists(off[1:], one, pa.int64()), "size": pa.array([len(data)], pa.int64()), "texts": pa.array([raw], pa.binary())})
+    release()
+
+
+def _parts(b: pa.RecordBatch | pa.Table, i: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The texts of a unit, some at once, and their places in it."""
+    off = np.append(0, np.array(b.column("ends")[i].values))
+    raw = pa.decompress(b.column("texts")[i].as_py(), int(b.column("size")[i].as_py()), "zstd", asbytes=True)
+    for x, y in chunks(off, CHUNK):
+        cut = off[x : y + 1].tolist()
+        yield [raw[p:q].decode() for p, q in zip(cut, cut[1:])], np.arange(x, y)
+
+
 def _of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct n-grams of each block, of rows in order of block."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -246,43 +269,41 @@ def _of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch({"block": pa.array(np.full(len(hi), now), pa.int32()), "hi": pa.array(hi), "lo": pa.array(lo)})
 
     for b in batches:
-        block = b.column("block").to_numpy()
-        cut = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
-        for i, j in zip(cut, cut[1:]):
-            if i == j:
-                continue
-            if held and block[i] != now:
+        for i, block in enumerate(b.column("block").to_pylist()):
+            if held and block != now:
                 yield told()
                 held, size = [], 0
-            now = int(block[i])
-            for points, ends, _ in pieces(b.column("text").slice(i, j - i).to_pylist()):
-                held.append(distinct(points, ends))
-                size += len(held[-1][0])
-                if size > 1_000_000 and len(held) > 1:
-                    held = [merged(*(np.concatenate(x) for x in zip(*held)))]
-                    size = len(held[0][0]) // 2
+            now = block
+            for texts, _ in _parts(b, i):
+                for points, ends, _ in pieces(texts):
+                    held.append(distinct(points, ends))
+                    size += len(held[-1][0])
+                    if size > 1_000_000 and len(held) > 1:
+                        held = [merged(*(np.concatenate(x) for x in zip(*held)))]
+                        size = len(held[0][0]) // 2
     if held:
         yield told()
     held = []
     release()
 
 
-def _scored_block(texts: pa.Table, known: pa.Table) -> pa.Table:
-    if not texts.num_rows:
-        return pa.table({"id": pa.array([], pa.int64()), "h": pa.array([], pa.int64()), "chars": pa.array([], pa.int64()), "perplexity": pa.array([], pa.float64())})
+def _scored_block(units: pa.Table, known: pa.Table) -> pa.Table:
+    kinds = {"id": pa.int64(), "h": pa.int64(), "chars": pa.int64(), "perplexity": pa.float64()}
+    if not units.num_rows:
+        return pa.table({c: pa.array([], t) for c, t in kinds.items()})
     table = Table(known.column("hi").to_numpy(), known.column("lo").to_numpy(), known.column("log_p").to_numpy())
-    chars, total = [], []
-    for b in texts.to_batches():
-        _, off = utf8(b.column("text"))
-        for i, j in chunks(off, CHUNK):
-            n, logs = np.zeros(j - i, np.int64), np.zeros(j - i)
-            for points, ends, row in pieces(b.column("text").slice(i, j - i).to_pylist()):
-                n += np.bincount(row, minlength=j - i)
-                logs += np.bincount(row, weights=table.get(*pairs(points, ends)), minlength=j - i)
-            chars.append(n - 1)
-            total.append(logs / n)
+    out = []
+    for i in range(units.num_rows):
+        for texts, rows in _parts(units, i):
+            n, logs = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            for points, ends, row in pieces(texts):
+                n += np.bincount(row, minlength=len(texts))
+                logs += np.bincount(row, weights=table.get(*pairs(points, ends)), minlength=len(texts))
+            at = pa.array(rows)
+            found = [units.column(c)[i].values.take(at) for c in ("ids", "hs")]
+            out.append(pa.table([*found, pa.array(n - 1), pa.array(np.exp(-logs / n))], names=list(kinds)))
     release()
-    return pa.table({"id": texts.column("id"), "h": texts.column("h"), "chars": pa.array(np.concatenate(chars)), "perplexity": pa.array(np.exp(-np.concatenate(total)))})
+    return pa.concat_tables(out)
 
 
 def resolved(wanted: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
