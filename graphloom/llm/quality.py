@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, kept, known_ids, lists, release, small_batches, text_hash, utf8, without, written
+from .common import bounded, chunks, drop_written, kept, known_ids, lists, release, small_batches, text_hash, utf8, without, written
 from .shingles import mix
 
 ORDER = 5
@@ -134,11 +135,11 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Model tables of the column ``text``: probabilities (n, hi, lo, p) of all n-grams seen, and weights
     of what is below (n, hi, lo, rest) of all contexts seen."""
     counts = texts.select("text").mapInArrow(_counted, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
-    tables = {ORDER: kept(counts)}
+    tables = {ORDER: written(counts, "ngrams")}
     for order in range(ORDER - 1, 0, -1):
         # Continuation counts: in how many different ways an n-gram is preceded.
         hi, lo = _last(order)
-        tables[order] = kept(tables[order + 1].groupBy(hi.alias("hi"), lo.alias("lo")).agg(F.count("*").alias("n")))
+        tables[order] = written(tables[order + 1].groupBy(hi.alias("hi"), lo.alias("lo")).agg(F.count("*").alias("n")), "ngrams")
     lower: DataFrame | None = None
     grams, contexts = [], []
     for order in range(1, ORDER + 1):
@@ -164,8 +165,7 @@ def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     for g, c in zip(grams[1:], contexts[1:]):
         all_grams, all_contexts = all_grams.unionByName(g), all_contexts.unionByName(c)
     all_contexts = written(all_contexts, "contexts")
-    for t in tables.values():
-        t.unpersist()
+    drop_written(*tables.values())
     return all_grams, all_contexts
 
 
@@ -221,70 +221,87 @@ def scored(df: DataFrame, grams: DataFrame, contexts: DataFrame, id_col: str = "
     """One row per row of ``df``: id, h (a hash of the text), chars and perplexity (per character, the end of
     the text included; null for a text that is null or has nothing but ASCII white space).
 
-    Rows go to blocks by batches, whatever their ids and texts are, so repeated rows and null ids are spread.
-    The texts of a batch travel compressed.
+    A block is some batches of a partition that follow each other, so repeated rows and null ids are spread.  Its
+    n-grams are gathered where it is read, and its texts travel once, compressed.  ``df`` is read twice and
+    must give its rows in the same places, as files do; else a task fails.
     """
     small_batches(df)
     text = F.col(f"`{text_col}`")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_hash(text_col).alias("h"), F.coalesce(text, F.lit("")).alias("text"))
     none = rows.where(blank(F.col("text"))).select("id", "h", F.length("text").cast("long").alias("chars"), F.lit(None).cast("double").alias("perplexity"))
-    total = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    blocks = max(1, total // block_bytes)
-    units = rows.where(~blank(F.col("text"))).mapInArrow(_units, "ids array<long>, hs array<long>, ends array<long>, size long, texts binary")
-    dealt = units.withColumn("block", F.pmod(F.xxhash64("ids", "hs"), F.lit(blocks)).cast("int"))
-    wanted = written(dealt.select("block", "ends", "size", "texts").repartition("block").sortWithinPartitions("block").mapInArrow(_of_blocks, "block int, hi long, lo long"), "block-ngrams")
+    read = rows.where(~blank(F.col("text")))
+    units = read.mapInArrow(_units(block_bytes), "block long, ids array<long>, hs array<long>, ends array<long>, size long, texts binary")
+    wanted = written(read.mapInArrow(_of_blocks(block_bytes), "block long, hi long, lo long"), "block-ngrams")
     known = resolved(wanted.select("hi", "lo").distinct(), grams, contexts)
     per_block = wanted.join(known, ["hi", "lo"])
-    found = dealt.groupBy("block").cogroup(per_block.groupBy("block")).applyInArrow(_scored_block, "id long, h long, chars long, perplexity double")
+    found = units.groupBy("block").cogroup(per_block.groupBy("block")).applyInArrow(_scored_block, "id long, h long, chars long, perplexity double")
     return found.unionByName(none)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch as a row: ids and hashes, and the texts, compressed, with the end and size of each."""
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each batch with the number of its block, its texts' bytes and their offsets."""
+    number, size = TaskContext.get().partitionId() << 32, 0
     for b in batches:
-        if b.num_rows:
-            data, off = utf8(b.column("text"))
+        if not b.num_rows:
+            continue
+        data, off = utf8(b.column("text"))
+        if size and size + len(data) > block_bytes:
+            number, size = number + 1, 0
+        size += len(data)
+        yield number, b, data, off
+
+
+def _units(block_bytes: int):
+    """Each batch as a row: its block, ids and hashes, and the texts, compressed, with the end and size of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, b, data, off in _blocks(batches, block_bytes):
             raw = pa.compress(data.tobytes(), "zstd", asbytes=True)
             one = np.array([b.num_rows])
-            yield pa.record_batch({"ids": pa.array([b.column("id").to_pylist()], pa.list_(pa.int64())), "hs": pa.array([b.column("h").to_pylist()], pa.list_(pa.int64())), "ends": lists(off[1:], one, pa.int64()), "size": pa.array([len(data)], pa.int64()), "texts": pa.array([raw], pa.binary())})
-    release()
+            yield pa.record_batch({"block": pa.array([block], pa.int64()), "ids": pa.array([b.column("id").to_pylist()], pa.list_(pa.int64())), "hs": pa.array([b.column("h").to_pylist()], pa.list_(pa.int64())), "ends": lists(off[1:], one, pa.int64()), "size": pa.array([len(data)], pa.int64()), "texts": pa.array([raw], pa.binary())})
+        release()
 
+    return run
 
-def _parts(b: pa.RecordBatch | pa.Table, i: int) -> Iterator[tuple[list[str], np.ndarray]]:
-    """The texts of a unit, some at once, and their places in it."""
-    off = np.append(0, np.array(b.column("ends")[i].values))
-    raw = pa.decompress(b.column("texts")[i].as_py(), int(b.column("size")[i].as_py()), "zstd", asbytes=True)
-    for x, y in chunks(off, CHUNK):
-        cut = off[x : y + 1].tolist()
-        yield [raw[p:q].decode() for p, q in zip(cut, cut[1:])], np.arange(x, y)
 
+def _of_blocks(block_bytes: int):
+    """The distinct n-grams of each block."""
 
-def _of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams of each block, of rows in order of block."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size, now = 0, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size, now = 0, -1
 
-    def told() -> pa.RecordBatch:
-        hi, lo, _ = merged(*(np.concatenate(x) for x in zip(*held)))
-        return pa.record_batch({"block": pa.array(np.full(len(hi), now), pa.int32()), "hi": pa.array(hi), "lo": pa.array(lo)})
+        def told() -> pa.RecordBatch:
+            hi, lo, _ = merged(*(np.concatenate(x) for x in zip(*held)))
+            return pa.record_batch({"block": pa.array(np.full(len(hi), now)), "hi": pa.array(hi), "lo": pa.array(lo)})
 
-    for b in batches:
-        for i, block in enumerate(b.column("block").to_pylist()):
+        for block, b, _, off in _blocks(batches, block_bytes):
             if held and block != now:
                 yield told()
                 held, size = [], 0
             now = block
-            for texts, _ in _parts(b, i):
-                for points, ends, _ in pieces(texts):
+            for i, j in chunks(off, CHUNK):
+                for points, ends, _ in pieces(b.column("text").slice(i, j - i).to_pylist()):
                     held.append(distinct(points, ends))
                     size += len(held[-1][0])
                     if size > 1_000_000 and len(held) > 1:
                         held = [merged(*(np.concatenate(x) for x in zip(*held)))]
                         size = len(held[0][0]) // 2
-    if held:
-        yield told()
-    held = []
-    release()
+        if held:
+            yield told()
+        held = []
+        release()
+
+    return run
+
+
+def _parts(b: pa.RecordBatch | pa.Table, i: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The texts of a unit, some at once, and their places in it."""
+    off = np.append(0, np.array(b.column("ends")[i].values))
+    raw = pa.decompress(b.column("texts")[i].as_py(), int(b.column("size")[i].as_py()), "zstd", asbytes=True)
+    for x, y in chunks(off, CHUNK):
+        cut = off[x : y + 1].tolist()
+        yield [raw[p:q].decode() for p, q in zip(cut, cut[1:])], np.arange(x, y)
 
 
 def _scored_block(units: pa.Table, known: pa.Table) -> pa.Table:
@@ -314,7 +331,7 @@ def resolved(wanted: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFr
     for order in range(ORDER, 0, -1):
         g = grams.where(F.col("n") == order).select(F.col("hi").alias("k_hi"), F.col("lo").alias("k_lo"), "p")
         c = contexts.where(F.col("n") == order).select(F.col("hi").alias("c_hi"), F.col("lo").alias("c_lo"), "rest")
-        tried = kept(at.join(g, ["k_hi", "k_lo"], "left"))
+        tried = written(at.join(g, ["k_hi", "k_lo"], "left"), "looked-up")
         found = tried.where("p is not null").select("hi", "lo", (F.col("log_p") + F.log("p")).alias("log_p"))
         done = found if done is None else done.unionByName(found)
         c_hi, c_lo = _before("k_hi", "k_lo")
