@@ -58,7 +58,14 @@ def _tokenizer(path: str, special: bool = True):
 @lru_cache(maxsize=2)
 def _specials(path: str) -> list[bytes]:
     """The strings that the library takes for special tokens: texts that hold one are encoded whole."""
-    return [t.content.encode() for t in _tokenizer(path).get_added_tokens_decoder().values()]
+    return [t.content.encode() for t in _tokenizer(path, False).get_added_tokens_decoder().values()]
+
+
+def _let_go() -> None:
+    """Free the tokenizers at the end of a task: idle workers stay alive."""
+    for made in (_tokenizer, _plain_tokenizer, _specials):
+        made.cache_clear()
+    release()
 
 
 @lru_cache(maxsize=2)
@@ -166,7 +173,7 @@ def _plain_tokenizer(path: str):
     others = [b for b in range(256) if b not in set(printed)]
     alphabet = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(others)}
     del alphabet[32]  # stays between words
-    t = Tokenizer(_tokenizer(path).model)
+    t = Tokenizer(_tokenizer(path, False).model)
     t.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     ends = np.zeros(t.get_vocab_size(), bool)
     for token, k in t.get_vocab().items():
@@ -215,7 +222,6 @@ def _tokens(path: str, end: int, whole: bool, width: int):
     kind = f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(path)
         tail = np.array([end], kind).tobytes()
         table = _Words()
         gc.disable()  # words make no cycles
@@ -225,7 +231,7 @@ def _tokens(path: str, end: int, whole: bool, width: int):
                 part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 if whole:
                     texts = b.column("text").slice(i, j - i).to_pylist()
-                    out = [np.array(e.ids, kind).tobytes() + tail for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+                    out = [np.array(e.ids, kind).tobytes() + tail for e in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
                 else:
                     special = _holding(part.tobytes(), at, _specials(path))
                     low = _lowered(part)
@@ -240,18 +246,18 @@ def _tokens(path: str, end: int, whole: bool, width: int):
                     known = table.ids.__getitem__
                     out = [b"".join(map(known, x)) + tail for x in numbers]
                     for r in special:
-                        out[r] = np.array(t.encode(b.column("text")[i + r].as_py() or "", add_special_tokens=False).ids, kind).tobytes() + tail
+                        out[r] = np.array(_tokenizer(path).encode(b.column("text")[i + r].as_py() or "", add_special_tokens=False).ids, kind).tobytes() + tail
                 yield pa.record_batch({"id": b.column("id").slice(i, j - i), "n": pa.array([len(x) // width for x in out], pa.int64()), "tokens": pa.array(out, pa.binary())})
         del table
         gc.enable()
-        release()
+        _let_go()
 
     return run
 
 
 def token_width(path: str) -> int:
     """Bytes of a stored id: 2 where the whole vocabulary fits."""
-    return 2 if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+    return 2 if _tokenizer(path, False).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
 def tokenized(df: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
