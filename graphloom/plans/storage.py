@@ -49,6 +49,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for files of a query; what is there goes when the session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def partitioned(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` in hash partitions of ``keys``, kept on the executors' disks.  Joins on these keys need not
     shuffle it again, as they would if it were read back from files.  What a lost executor held is made

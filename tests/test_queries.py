@@ -3,7 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from graphloom.plans import queries
+from graphloom.plans import io_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 HAVE = os.path.isdir(SF)
