@@ -39,6 +39,8 @@ CHUNK = 1 << 18
 #: Bytes of the texts of one block, on average, before they are compressed.  A task holds a compressed block and a number for
 #: each of its distinct n-grams.
 BLOCK_BYTES = 32 << 20
+#: Level of zstd for the texts of blocks, which are the larger part of what is shuffled.
+TEXT_LEVEL = 5
 QUANTILE = 0.995
 #: A held-out text may be above its quantile by this part.
 SLACK = 1.08
@@ -255,8 +257,9 @@ def _units(block_bytes: int):
     """Each batch as a row: its block, ids and hashes, and the texts, compressed, with the end and size of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=TEXT_LEVEL)
         for block, b, data, off in _blocks(batches, block_bytes):
-            raw = pa.compress(data.tobytes(), "zstd", asbytes=True)
+            raw = codec.compress(data.tobytes(), asbytes=True)
             one = np.array([b.num_rows])
             yield pa.record_batch({"block": pa.array([block], pa.int64()), "ids": pa.array([b.column("id").to_pylist()], pa.list_(pa.int64())), "hs": pa.array([b.column("h").to_pylist()], pa.list_(pa.int64())), "ends": lists(off[1:], one, pa.int64()), "size": pa.array([len(data)], pa.int64()), "texts": pa.array([raw], pa.binary())})
         release()
