@@ -542,6 +542,8 @@ def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
     found = df.join(changed, (own == F.col("__id")) & (text_hash(text_col) == F.col("__h")), "left")
     none = F.expr("cast(array() as array<struct<lo:long,hi:long>>)")
-    text = F.when(F.col("__spans").isNull(), F.col(f"`{text_col}`")).otherwise(_text_left(F.when(F.col("__spans").isNull(), F.lit("")).otherwise(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), F.coalesce("__spans", none)))
+    # Not deterministic to the optimizer: else it copies the call into the filter below, and a task runs two Python workers.
+    left = _text_left.asNondeterministic()
+    text = F.when(F.col("__spans").isNull(), F.col(f"`{text_col}`")).otherwise(left(F.when(F.col("__spans").isNull(), F.lit("")).otherwise(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), F.coalesce("__spans", none)))
     out = found.withColumn(text_col, text).where(F.col("__spans").isNull() | F.col(f"`{text_col}`").rlike("[^ \\t-\\r]"))
     return out.select(*[f"`{c}`" for c in df.columns])
