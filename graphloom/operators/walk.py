@@ -1,27 +1,33 @@
 """Random walks from home nodes, and personalised reputation.
 
-Walkers are independent rows.  On graphs that are counted to be small the neighbour lists are broadcast
-and each task walks its walkers; on larger ones all walkers take a step at a time by a join on (node,
-place in its list), so no list is ever built.  Draws depend on the seed, the walker and the step alone.
+Walkers are independent rows, and a task walks its walkers by neighbour lists that are broadcast: all lists
+of a graph that is counted to be small, else those near the homes and near the walkers.  Where a walker
+needs a list that is not there, it waits for an answer: its next node, found by a join on (node, place in
+its list), so no list has to fit anywhere.  Draws depend on the seed, the walker and the step alone, so a
+walk is the same whatever is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import counters
 from ..graph import GraphDir, PropertyGraph
-from ..plans.storage import partitioned, written
+from ..plans.storage import partitioned, scratch, written
 
-#: Links (16 bytes each) of a graph that is broadcast, at most.
+#: Links (16 bytes each) that are broadcast at a time, at most.
 BROADCAST_LINKS = 2_000_000
 
+#: Levels of neighbours whose lists are gathered at a time, at most.
+HOPS = 6
+
 
 @dataclass(frozen=True)
 class WalkParams:
@@ -49,84 +55,143 @@ def random_walk(graph: PropertyGraph, homes: Sequence[int], params: WalkParams,
     ``params.walkers`` walkers that each start at home.  Nothing if a home is missing or none is given."""
     spark = graph.edges.sparkSession
     homes = [int(h) for h in homes]
-    known = graph.vertices.where(F.col("id").isin(*homes)).count() if homes else 0
-    if not homes or known < len(set(homes)):
-        return spark.createDataFrame([], "walk int, step bigint, id bigint")
+    if not homes:
+        return spark.createDataFrame([], _VISIT)
+    links = written(graph.links(params.direction), "walk-links")
+    if not _known(graph, links, set(homes)):
+        return spark.createDataFrame([], _VISIT)
     n = max(1, min(params.walkers, params.steps))
     share = [params.steps // n + (i < params.steps % n) for i in range(n)]
-    walkers = spark.createDataFrame([(i, s) for i, s in enumerate(share)], "walk int, steps bigint")
-    links = written(graph.links(params.direction), "walk-links")
+    rows = [(i, 0, s) for i, s in enumerate(share)]
+    walkers = spark.createDataFrame(rows, "walk int, step bigint, steps bigint")
+    walkers = walkers.selectExpr("*", *(f"cast(null as {t}) as {c}" for c, t in _STATE.items() if c not in walkers.columns))
     if links.count() <= broadcast_links:
-        return _walk_here(links, walkers, homes, params)
-    return _walk_by_steps(links, walkers, homes, params)
+        return _walked(walkers, [_lists(links)], homes, params, True).select("walk", "step", "id")
+    return _walk_in_rounds(links, walkers, homes, params, broadcast_links)
+
+
+_VISIT = "walk int, step bigint, id bigint"
+
+#: A walker before its step ``step``: the node that it is at, the nodes on its path, those seen since it began
+#: anew, and the draw, the degree and the neighbour of an answer to a step that had to wait.
+_STATE = {"walk": "int", "step": "bigint", "steps": "bigint", "id": "bigint", "length": "int", "seen": "array<bigint>", "pick": "double", "degree": "bigint", "nbr": "bigint"}
+
+_Lists = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
+def _known(graph: PropertyGraph, links: DataFrame, homes: set[int]) -> bool:
+    """Are all homes vertices?  Those with links are; the vertex table is read for others only."""
+    missing = homes - {r.id for r in links.where(F.col("id").isin(*homes)).select("id").distinct().collect()}
+    return not missing or graph.vertices.where(F.col("id").isin(*missing)).count() == len(missing)
 
-def _walk_here(links: DataFrame, walkers: DataFrame, homes: list[int], p: WalkParams) -> DataFrame:
-    got = links.select("id", "pos", "nbr").toPandas().sort_values(["id", "pos"], kind="stable")  # counted
-    ids, first = np.unique(got["id"].to_numpy(), return_index=True)
-    sent = links.sparkSession.sparkContext.broadcast((ids, np.append(first, len(got)), got["nbr"].to_numpy()))
+
+def _lists(links: DataFrame, ids: DataFrame | None = None) -> _Lists:
+    """ids in order (those with links, if none are given), where their lists begin, and all lists.  Of
+    links that are counted."""
+    got = links.select("id", "pos", "nbr").toArrow()
+    at, pos, nbr = (got[c].to_numpy() for c in ("id", "pos", "nbr"))
+    order = np.lexsort((pos, at))
+    found = np.unique(at if ids is None else ids.toArrow()["id"].to_numpy())
+    return found, np.append(np.searchsorted(at[order], found), len(order)), nbr[order]
+
+
+def _walked(walkers: DataFrame, lists: list[_Lists], homes: list[int], p: WalkParams, whole: bool) -> DataFrame:
+    """Visits as rows (walk, step, id), and a row of state, with ``steps``, of each walker that has to wait.
+    ``whole``: nodes that are not in the lists have no links."""
+    sent = walkers.sparkSession.sparkContext.broadcast(lists)
     home_set = set(homes)
+    columns = [c for c in _STATE if c not in ("degree", "nbr")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, first, nbrs = sent.value
-        at = {int(v): k for k, v in enumerate(ids)}
+        held = [({int(v): k for k, v in enumerate(ids)}, first, nbrs) for ids, first, nbrs in sent.value]
         for part in parts:
-            for w, steps in zip(part["walk"].tolist(), part["steps"].tolist()):
-                rng = np.random.default_rng([p.seed & 0xFFFFFFFFFFFFFFFF, w])
-                out, now, length, seen = np.empty(steps, np.int64), None, 0, set()
-                draws = rng.random((steps, 2))
-                for s in range(steps):
+            for w in part.itertuples(index=False):
+                steps, begin = int(w.steps), int(w.step)
+                draws = np.random.default_rng([p.seed & 0xFFFFFFFFFFFFFFFF, int(w.walk)]).random((steps, 2))
+                out, now, length, seen = np.empty(steps - begin, np.int64), None, 0, set()
+                if begin:
+                    now, length, seen = int(w.id), int(w.length), {int(x) for x in w.seen}
+                s = begin
+                while s < steps:
                     u, pick = draws[s]
                     home = homes[int(pick * len(homes))]
                     if now is None or (p.max_depth is not None and length >= p.max_depth):
                         nxt, length = home, 0
                     else:
-                        k = at.get(now)
-                        degree = int(first[k + 1] - first[k]) if k is not None else 0
+                        at, k = next(((x, x[0][now]) for x in held if now in x[0]), (None, 0))
+                        if at is not None:
+                            degree = int(at[1][k + 1] - at[1][k])
+                        elif s == begin and not pd.isna(w.degree):
+                            degree = int(w.degree)
+                        elif whole:
+                            degree = 0
+                        else:
+                            break
                         wide = p.max_edges is not None and degree > p.max_edges and (p.filter_home or now not in home_set)
                         if u < p.reset or wide or not degree:
                             nxt, length = home, 0
                         else:
-                            nxt = int(nbrs[first[k] + int(pick * degree)])
+                            nxt = int(at[2][at[1][k] + int(pick * degree)] if at is not None else w.nbr)
                         if p.only_once and nxt in seen:
                             seen.clear()
                             nxt, length = home, 0
                     if p.only_once:
                         seen.add(nxt)
                     length += 1
-                    out[s] = now = nxt
-                yield pd.DataFrame({"walk": np.int32(w), "step": np.arange(steps), "id": out})
-
-    spread = walkers.repartition(min(p.walkers, 64), "walk")
-    return spread.mapInPandas(run, "walk int, step bigint, id bigint")
-
-
-def _walk_by_steps(links: DataFrame, walkers: DataFrame, homes: list[int], p: WalkParams) -> DataFrame:
+                    out[s - begin] = now = nxt
+                    s += 1
+                visits = {"walk": np.int32(w.walk), "step": np.arange(begin, s), "id": out[: s - begin]}
+                yield pd.DataFrame(visits | dict.fromkeys(("steps", "length", "seen", "pick")))[columns]
+                if s < steps:
+                    yield pd.DataFrame({"walk": [w.walk], "step": [s], "steps": [steps], "id": [now], "length": [length], "seen": [list(seen)], "pick": [draws[s][1]]})[columns]
+
+    spread = walkers.repartition(min(p.walkers, walkers.sparkSession.sparkContext.defaultParallelism), "walk")
+    return spread.mapInPandas(run, ", ".join(f"{c} {_STATE[c]}" for c in columns))
+
+
+def _gathered(ids: DataFrame, links: DataFrame, degrees: DataFrame, p: WalkParams, most: int) -> _Lists | None:
+    """Lists of nodes, then of their neighbours and so on, ``most`` links and nodes at most; short lists
+    first where a level does not fit.  What is left out costs rounds, nothing else."""
+    held, lists = [], []
+    for _ in range(HOPS if p.max_depth is None else min(HOPS, p.max_depth - 1)):
+        for table in held:
+            ids = ids.join(table, "id", "left_anti")
+        level = written(ids.join(degrees, "id", "left").select("id", F.coalesce("degree", F.lit(0).cast("bigint")).alias("degree")), "walk-near")
+        sizes = level.groupBy("degree").agg(F.sum(F.col("degree") + 1).alias("size")).orderBy("degree").limit(most + 1).collect()
+        sums = np.cumsum([r["size"] for r in sizes])
+        fits = int(np.searchsorted(sums, most, "right"))
+        if not fits:
+            break
+        held.append(level.where(F.col("degree") <= sizes[fits - 1].degree).select("id"))
+        lists.append(written(links.join(F.broadcast(held[-1]), "id"), "walk-near"))
+        most -= int(sums[fits - 1])
+        if fits < len(sizes):
+            break
+        ids = lists[-1].select(F.col("nbr").alias("id")).distinct()
+    return _lists(reduce(DataFrame.unionByName, lists), reduce(DataFrame.unionByName, held)) if held else None
+
+
+def _walk_in_rounds(links: DataFrame, walkers: DataFrame, homes: list[int], p: WalkParams, most: int) -> DataFrame:
+    """Each round walks on until all walkers are done or wait.  Half of ``most`` links are for lists near the
+    homes, which stay, half for lists near the waiting walkers."""
+    spark = links.sparkSession
     degrees = written(links.groupBy("id").agg(F.count("*").alias("degree")), "walk-degrees")
-    home_array = F.array(*[F.lit(h).cast("bigint") for h in homes])
-
-    def unit(salt: int, step: int) -> Column:
-        return (F.xxhash64(F.lit(p.seed & 0x7FFFFFFFFFFFFFFF), "walk", F.lit(step), F.lit(salt)) / 2.0**64 + 0.5) % 1.0
-
-    home = F.get(home_array, F.floor(unit(1, 0) * len(homes)).cast("int"))
-    at = written(walkers.select("walk", "steps", home.alias("id"), F.lit(1).alias("length"), F.array(home).alias("seen"), F.lit(0).cast("bigint").alias("step")), "walk")
-    visits = at.select("walk", "step", "id")
-    for step in range(1, -(-p.steps // max(1, min(p.walkers, p.steps)))):
-        home = F.get(home_array, F.floor(unit(1, step) * len(homes)).cast("int"))
-        now = at.where(F.col("steps") > step).join(degrees, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        exempt = F.lit(False) if p.filter_home else F.col("id").isin(*homes)
-        wide = F.lit(False) if p.max_edges is None else (F.col("degree") > p.max_edges) & ~exempt
-        forced = F.lit(False) if p.max_depth is None else F.col("length") >= p.max_depth
-        stay = ~forced & ~wide & (F.col("degree") > 0) & (unit(2, step) >= p.reset)
-        now = now.withColumn("pos", F.when(stay, F.floor(unit(3, step) * F.col("degree")).cast("int")))
-        nxt = now.join(links, ["id", "pos"], "left").withColumn("go", F.coalesce("nbr", home))
-        again = F.lit(False) if not p.only_once else ~forced & F.array_contains("seen", F.col("go"))
-        target = F.when(again, home).otherwise(F.col("go"))
-        length = F.when(again | F.col("nbr").isNull(), 1).otherwise(F.col("length") + 1)
-        seen = F.when(again, F.array(target)).otherwise(F.array_union("seen", F.array(target))) if p.only_once else F.col("seen")
-        at = written(nxt.select("walk", "steps", target.alias("id"), length.alias("length"), seen.alias("seen"), F.lit(step).cast("bigint").alias("step")), "walk")
-        visits = visits.unionByName(at.select("walk", "step", "id"))
-    return visits
+    folder, rounds = scratch(spark, "walk"), []
+    schema = ", ".join(f"{c} {t}" for c, t in _STATE.items() if c not in ("degree", "nbr"))
+    near = _gathered(spark.createDataFrame([(h,) for h in set(homes)], "id bigint"), links, degrees, p, most // 2)
+    here = None
+    while True:
+        rounds.append(f"{folder}/{len(rounds)}")
+        _walked(walkers, [x for x in (near, here) if x], homes, p, False).write.parquet(rounds[-1])
+        waiting = spark.read.schema(schema).parquet(rounds[-1]).where("steps is not null")
+        if waiting.isEmpty():
+            break
+        few = F.broadcast if p.walkers <= 100_000 else lambda df: df
+        asked = waiting.join(degrees, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("bigint")))
+        asked = asked.withColumn("pos", F.floor(F.col("pick") * F.col("degree")).cast("int"))
+        walkers = links.select("id", "pos", "nbr").join(few(asked), ["id", "pos"], "right").select(*_STATE)
+        here = _gathered(waiting.select("id").distinct(), links, degrees, p, most - most // 2)
+    return spark.read.schema(schema).parquet(*rounds).where("steps is null").select("walk", "step", "id")
 
 
 def personalized_reputation(graph: PropertyGraph, homes: Sequence[int] | int, params: WalkParams) -> tuple[DataFrame, DataFrame | None]:
