@@ -98,6 +98,22 @@ def test_walk_rules(spark, links):
     assert all(b.id == 15 for a, b in zip(wide, wide[1:]) if a.id == 10)
 
 
+def test_walk_does_not_depend_on_what_is_broadcast(spark):
+    near = {i: [(i * k + 1) % 97 for k in range(1, 2 + i % 5)] for i in range(0, 97, 2)}  # odd nodes have no links
+    g = graph(spark, near)
+    for p in (walk.WalkParams(300, 0.1, walkers=8), walk.WalkParams(300, 0.0, max_edges=3, only_once=True, max_depth=6, walkers=8)):
+        got = [walk.random_walk(g, [0, 4], p, links).orderBy("walk", "step").collect() for links in (10**6, 60, 0)]
+        assert len(got[0]) == 300 and got[0] == got[1] == got[2]
+
+
+def test_walk_on_a_large_graph_takes_few_rounds(spark, monkeypatch):
+    g = graph(spark, {i: [(i * 7 + k) % 1000 for k in range(3)] for i in range(1000)})
+    tables = []
+    monkeypatch.setattr(walk, "written", lambda df, name, f=walk.written: tables.append(name) or f(df, name))
+    assert walk.random_walk(g, [5], walk.WalkParams(2000, 0.1, max_depth=4, walkers=8), 2999).count() == 2000
+    assert len(tables) < 20
+
+
 def test_reputation_with_paths(spark):
     visits, paths = walk.personalized_reputation(graph(spark, G6), 10, walk.WalkParams(2000, 0.2, top_paths=2))
     assert visits.first().id == 10 or visits.count() == 6
