@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..graph import in_id_set
+from ..plans.storage import drop_written, written
 
 
 def visit_counts(visits: DataFrame) -> DataFrame:
@@ -37,6 +38,29 @@ def path_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("id").agg(F.countDistinct("path").alias("unique_paths"), F.sum("count").alias("paths"))
 
 
+def visit_path_totals(visits: DataFrame, homes: Sequence[int], salt: int = 0) -> DataFrame:
+    """:func:`path_totals` of :func:`paths_to_nodes`, with no path as a row: those of a long leg together are
+    as large as its square.
+
+    A path goes by its node, its length and the exclusive or of hashes of (place, node).  Where all visits with
+    equal ones come from equal ones a step before, they have equal paths, by induction; this is checked, and
+    if hashes should collide, others are taken.  As in lists of visits, null nodes have no place in a path.
+    """
+    order = Window.partitionBy("walk").orderBy("step")
+    marked = visits.withColumn("leg", F.sum(in_id_set(F.col("id"), homes).cast("int")).over(order))
+    on = Window.partitionBy("walk", "leg").orderBy("step")
+    until, past = on.rowsBetween(Window.unboundedPreceding, 0), on.rowsBetween(Window.unboundedPreceding, -1)
+    placed = marked.withColumn("length", F.count("id").over(until)).withColumn("hash", F.xxhash64(F.lit(salt), "length", "id"))
+    hashed = placed.withColumn("hash", F.bit_xor(F.when(F.col("id").isNotNull(), F.col("hash"))).over(until))
+    before = F.struct(F.last("id", True).over(past).alias("id"), F.lag("hash").over(on).alias("hash"))
+    paths = hashed.withColumn("before", before).groupBy("id", "length", "hash")
+    paths = written(paths.agg(F.count("*").alias("count"), F.min("before").alias("least"), F.max("before").alias("most")), "paths")
+    if not paths.where("not least <=> most").isEmpty():
+        drop_written(paths)
+        return visit_path_totals(visits, homes, salt + 1)
+    return paths.groupBy("id").agg(F.count("*").alias("unique_paths"), F.sum("count").alias("paths"))
+
+
 def paths_through(counts: DataFrame, node_id: int) -> DataFrame:
     return counts.where(F.array_contains("path", node_id))
 

@@ -233,7 +233,7 @@ def previous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def path_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths that begin anew at each visit of a home (the users below 15)."""
-    return counters.path_totals(counters.paths_to_nodes(_event_walks(spark, sf_dir), range(15)))
+    return counters.visit_path_totals(_event_walks(spark, sf_dir), range(15))
 
 
 @_register(f"WITH {_STREAM} SELECT id, max(step) AS info FROM s WHERE walk = 'click' GROUP BY id")

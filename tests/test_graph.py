@@ -103,6 +103,24 @@ def test_counters(spark):
     assert [r.id for r in counters.top_k(scored, 2).collect()] == [2, 3]
 
 
+def test_totals_of_long_paths(spark):
+    n = 60_000  # paths of one leg: 14 GB as arrays
+    long = visits(spark, range(1, n + 1))
+    got = counters.visit_path_totals(long, [1])
+    assert got.count() == n and got.where("unique_paths = 1 and paths = 1").count() == n
+    mixed = visits(spark, [7, 3, 1, 3, 3, 1, 3, 2, None, 3, 1, None, 3, 3, 7, 1]).unionByName(visits(spark, [7, 3, 1, 3, 3, 7]).withColumn("walk", F.lit(1)))
+    for homes in ([1], [1, 2], []):
+        want = counters.path_totals(counters.paths_to_nodes(mixed, homes)).orderBy("id").collect()
+        assert counters.visit_path_totals(mixed, homes).orderBy("id").collect() == want
+
+
+def test_totals_of_paths_whose_hashes_collide(spark, monkeypatch):
+    real, salts = F.xxhash64, []
+    monkeypatch.setattr(F, "xxhash64", lambda salt, *c: salts.append(1) or (F.lit(0).cast("bigint") if len(salts) == 1 else real(salt, *c)))
+    got = counters.visit_path_totals(visits(spark, [1, 2, 3, 1, 4, 3]), [1])
+    assert {r.id: (r.unique_paths, r.paths) for r in got.collect()} == {1: (1, 2), 2: (1, 1), 3: (2, 2), 4: (1, 1)} and len(salts) == 2
+
+
 def test_two_homes(spark):
     v = visits(spark, [1, 2, 3, 2, 1, 3])
     paths = {(r.id, tuple(r.path)): r["count"] for r in counters.paths_to_nodes(v, [1, 2]).collect()}
