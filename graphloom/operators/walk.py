@@ -3,8 +3,9 @@
 Walkers are independent rows, and a task walks its walkers by neighbour lists that are broadcast: all lists
 of a graph that is counted to be small, else those near the homes and near the walkers.  Where a walker
 needs a list that is not there, it waits for an answer: its next node, found by a join on (node, place in
-its list), so no list has to fit anywhere.  Draws depend on the seed, the walker and the step alone, so a
-walk is the same whatever is broadcast.
+its list), so no list has to fit anywhere.  Where paths are short and the graph tells the lists of given
+nodes by themselves, those that paths can reach are all that is derived, if they can be broadcast.  Draws
+depend on the seed, the walker and the step alone, so a walk is the same whatever is broadcast.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import counters
 from ..graph import GraphDir, PropertyGraph
-from ..plans.storage import partitioned, scratch, written
+from ..plans.storage import drop_written, partitioned, scratch, written
 
 #: Links (16 bytes each) that are broadcast at a time, at most.
 BROADCAST_LINKS = 2_000_000
@@ -57,7 +58,9 @@ def random_walk(graph: PropertyGraph, homes: Sequence[int], params: WalkParams,
     homes = [int(h) for h in homes]
     if not homes:
         return spark.createDataFrame([], _VISIT)
-    links = written(graph.links(params.direction), "walk-links")
+    links = _reachable(graph, homes, params, broadcast_links)
+    if links is None:
+        links = written(graph.links(params.direction), "walk-links")
     if not _known(graph, links, set(homes)):
         return spark.createDataFrame([], _VISIT)
     n = max(1, min(params.walkers, params.steps))
@@ -79,6 +82,32 @@ _STATE = {"walk": "int", "step": "bigint", "steps": "bigint", "id": "bigint", "l
 _Lists = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
+def _reachable(graph: PropertyGraph, homes: list[int], p: WalkParams, most: int) -> DataFrame | None:
+    """The lists of all nodes that a path can go on from, level by level; None where they are more than
+    ``most`` links and nodes, paths may be long, or the graph would derive all lists for each level."""
+    if p.max_depth is None or not 1 < p.max_depth <= HOPS + 1:
+        return None
+    ids, held, lists = graph.edges.sparkSession.createDataFrame([(h,) for h in set(homes)], "id bigint"), [], []
+    for _ in range(p.max_depth - 1):
+        if lists:
+            ids = lists[-1].select(F.col("nbr").alias("id")).distinct()
+            for table in held:
+                ids = ids.join(table, "id", "left_anti")
+            ids = written(ids, "walk-near")
+        held.append(ids)
+        nodes = ids.count()
+        if lists and not nodes:
+            break
+        found = graph.links_from(ids, p.direction) if nodes <= most else None
+        if found is not None:
+            lists.append(written(found, "walk-near"))
+            most -= nodes + lists[-1].count()
+        if found is None or most < 0:
+            drop_written(*lists, *held)
+            return None
+    return reduce(DataFrame.unionByName, lists)
+
+
 def _known(graph: PropertyGraph, links: DataFrame, homes: set[int]) -> bool:
     """Are all homes vertices?  Those with links are; the vertex table is read for others only."""
     missing = homes - {r.id for r in links.where(F.col("id").isin(*homes)).select("id").distinct().collect()}

@@ -114,6 +114,27 @@ def test_walk_on_a_large_graph_takes_few_rounds(spark, monkeypatch):
     assert len(tables) < 20
 
 
+def test_short_walk_derives_only_lists_that_paths_reach(spark, monkeypatch):
+    near = {i: [(i * 7 + k) % 1000 for k in range((i + 1) % 4)] for i in range(1000)}
+    edges = spark.createDataFrame([(i, j) for i, js in near.items() for j in js], "src bigint, dst bigint")
+    asked, tables = [], []
+
+    def edges_from(ids):
+        asked.append({r.id for r in ids.collect()})
+        return edges.join(ids, F.col("src") == F.col("id"), "left_semi")
+
+    g, whole = PropertyGraph.from_edges(edges, edges_from=edges_from), PropertyGraph.from_edges(edges)
+    monkeypatch.setattr(walk, "written", lambda df, name, f=walk.written: tables.append(name) or f(df, name))
+    p = walk.WalkParams(300, 0.1, max_depth=4, walkers=8)
+    got = walk.random_walk(g, [2, 5], p).orderBy("walk", "step").collect()
+    first = set(near[2] + near[5])
+    assert asked == [{2, 5}, first, {j for i in first for j in near[i]}] and "walk-links" not in tables
+    assert got == walk.random_walk(whole, [2, 5], p).orderBy("walk", "step").collect() and tables.count("walk-links") == 1
+    assert walk.random_walk(g, [2, 5000], p).isEmpty() and tables.count("walk-links") == 1
+    assert {r.id for r in walk.random_walk(g, [35], p).collect()} == {35}  # it has no links
+    assert walk._reachable(g, [2, 5], p, 12) is None and walk._reachable(g, [2, 5], walk.WalkParams(300, 0.1), 10**6) is None
+
+
 def test_reputation_with_paths(spark):
     visits, paths = walk.personalized_reputation(graph(spark, G6), 10, walk.WalkParams(2000, 0.2, top_paths=2))
     assert visits.first().id == 10 or visits.count() == 6
